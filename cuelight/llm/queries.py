@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe
+from cuelight.llm import bpe, html_extract, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -19,5 +19,58 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+#: The rules of the URL query as (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict; a URL that no listing covers is not listed, so allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = """
+with parts as (
+  select page_id,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                          ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+select page_id, host, path,
+       (select h || p from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule,
+       coalesce((select v from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1), 'allow') as verdict
+from parts
+"""
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every vector whose vec_id is divisible by 50, against all others."""
+    return vector_index.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op7_html": op7_html,
+    "op8_top_k": op8_top_k,
+}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL}
