@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html_extract, near_dup, url_filter, vector_index
+from cuelight.llm import bpe, html_extract, near_dup, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -49,6 +49,11 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_near_dup": op4_near_dup,
+    "op5_toxicity": op5_toxicity,
     "op7_html": op7_html,
     "op8_top_k": op8_top_k,
 }
