@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html_extract, near_dup, toxicity, url_filter, vector_index
+from cuelight.llm import bpe, html_extract, near_dup, quality, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -23,6 +23,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: doc_id, text_score, meta_score, quality, kept."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, deciding rule and verdict; a URL that no listing covers is not listed, so allowed."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -79,6 +85,7 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_near_dup": op4_near_dup,
     "op5_toxicity": op5_toxicity,
