@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html_extract, near_dup, quality, toxicity, url_filter, vector_index
+from cuelight.llm import bpe, html_extract, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -83,6 +83,11 @@ select query_id, rank::int as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with how alike they are."""
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -91,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_html": op7_html,
     "op8_top_k": op8_top_k,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL}
