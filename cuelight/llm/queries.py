@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelight.llm import bpe, html_extract, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
+from cuelight.llm import bpe, html_extract, mixing, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -88,6 +89,25 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: Shares of all tokens that the mixing query and the pipeline aim at, by language as the domain.
+TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.18, "es": 0.12}
+
+
+def domain_classifier(docs: DataFrame, labels: DataFrame) -> mixing.Classifier:
+    """A classifier of the documents' languages, learned from the documents of the labelled table."""
+    known = labels.select("doc_id").dropDuplicates()
+    return mixing.fit_classifier(docs.select("doc_id", "text", F.col("lang").alias("domain")).join(known, "doc_id"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, domain posterior, fitted rate and number of copies: doc_id, tokens, domains, posterior, rate, copies."""
+    docs = table(spark, sf_dir, "documents")
+    model = domain_classifier(docs, table(spark, sf_dir, "labels"))
+    _, rated = mixing.fit_rates(docs.select("doc_id", "text"), model, TARGETS)
+    names = F.array(*map(F.lit, model.domains))
+    return rated.select("doc_id", "tokens", names.alias("domains"), "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -97,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html": op7_html,
     "op8_top_k": op8_top_k,
     "op9_fingerprints": op9_fingerprints,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL}
