@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import bpe, html_extract, mixing, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
+from cuelight.llm import bpe, html_extract, lm, mixing, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
 #: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
@@ -61,6 +61,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_near_dup": op4_near_dup,
     "op5_toxicity": op5_toxicity,
+    "op6_lm": op6_lm,
     "op7_html": op7_html,
     "op8_top_k": op8_top_k,
     "op9_fingerprints": op9_fingerprints,
