@@ -28,8 +28,8 @@ from cuelight.llm.store import Scratch
 
 #: Labelled documents used, word buckets, most domains, candidates of sharpness, part of the labelled that chooses it.
 SAMPLE, BUCKETS, DOMAINS, SHARPNESS, FOLDS = 8_000, 4096, 64, (1.0, 3.0, 10.0, 30.0), 5
-#: Most steps, relative miss at which they end, steps between written tables.
-STEPS, MISS, WRITTEN = 60, 1e-4, 10
+#: Most steps, relative miss at which they end, steps without progress after which they end, steps between written tables.
+STEPS, MISS, IDLE, WRITTEN = 60, 1e-4, 4, 10
 #: Words are what stands between spaces and other white space of ASCII.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -106,14 +106,14 @@ def fit_classifier(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _rate(start: Column, history: list[list[float]], posterior: Column) -> Column:
     """The rate after the steps of ``history``, each a number for each domain."""
-    r = start
-    for step in history:
-        move = None
-        for k, g in enumerate(step):
-            term = posterior[k] * F.lit(g)
-            move = term if move is None else move + term
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+    if not history:
+        return start
+
+    def move(r: Column, step: Column) -> Column:
+        toward = F.aggregate(F.zip_with(posterior, step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(F.lit(0.0), r - toward)
+
+    return F.aggregate(F.from_json(F.lit(json.dumps(history)), "array<array<double>>"), start, move)
 
 
 @dataclass
@@ -149,11 +149,14 @@ def fit_rates(docs: DataFrame, classifier: Classifier, weights: dict[str, float]
     targets = [w * scale for w in wanted]
     history: list[list[float]] = []
     recent: list[list[float]] = []
-    reached = there
+    reached, best, idle = there, float("inf"), 0
     if sum(there) > 0 and sum(wanted) > 0:
         for _ in range(STEPS):
             step = [(a - t) / c if c > 0 else 0.0 for a, t, c in zip(reached, targets, there, strict=True)]
-            if max(abs(a - t) / max(t, 1e-9 * sum(targets)) if t > 0 else abs(a) / sum(targets) for a, t in zip(reached, targets, strict=True)) <= MISS:
+            miss = max(abs(a - t) / (t if t > 0 else sum(targets)) for a, t in zip(reached, targets, strict=True))
+            idle = 0 if miss < 0.99 * best else idle + 1
+            best = min(best, miss)
+            if miss <= MISS or idle == IDLE:
                 break
             history.append(step)
             recent.append(step)
@@ -174,6 +177,8 @@ def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "tex
     """The rows of ``docs`` as often as their rates say, with all their columns."""
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    rated = mixture.rates(rows, own[text]).withColumn("_copies", copies(F.col("rate"), F.col(own[key])))
-    taken = rated.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    # The id below never is negative; it keeps the optimizer from computing posteriors once more in a pushed-down filter.
+    once = (F.monotonically_increasing_id() < 0).cast("int")
+    rated = mixture.rates(rows, own[text]).withColumn("_copies", copies(F.col("rate"), F.col(own[key])) + once)
+    taken = rated.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
     return taken.select(*[F.col(n).alias(c) for c, n in own.items()])
