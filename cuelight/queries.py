@@ -499,10 +499,10 @@ def global_row_number(spark, sf_dir):
     return global_position(detections(spark, sf_dir), F.floor(F.col("det_id") / 1000), ["det_id"]).select("det_id", "pos")
 
 
-@_query("windowed_counts", """select time_bucket(interval '1 hour', ts) as start, event_type as label, count(*) as n, round(avg(value / 100.0::double), 6) as mean_score
+@_query("windowed_counts", """select epoch(time_bucket(interval '1 hour', ts))::bigint as start, event_type as label, count(*) as n, round(avg(value / 100.0::double), 6) as mean_score
 from events where ts is not null group by 1, 2""")
 def windowed_counts(spark, sf_dir):
     from cuelight.streaming.detections import windowed_counts as counts
 
     df = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("label"), (F.col("value") / 100.0).alias("score"))
-    return counts(df, width="1 hour").select("start", "label", "n", F.round("mean_score", 6).alias("mean_score"))
+    return counts(df, width="1 hour").select(F.unix_timestamp("start").alias("start"), "label", "n", F.round("mean_score", 6).alias("mean_score"))
