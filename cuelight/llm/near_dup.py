@@ -6,9 +6,11 @@ its similarity reaches the threshold falls below MISS; what survives all batches
 at similarity 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6, and more similar pairs far less often.
 
 No bucket is ever expanded into all of its pairs. Equal word sequences are one candidate. First every member of a bucket is
-held against the bucket's smallest key, which joins nearly all copies; then, in buckets that still hold several
-components, only pairs across components are compared, as blocks of signatures of bounded size. Every candidate pair is
-thus decided or already connected, so components are those of all links.
+held against the bucket's smallest key, which joins nearly all copies. Then, in buckets that still hold several
+components, only pairs across components are compared, as blocks of bounded size: small components meet as blocks of
+signatures, and a large component meets everything that shares a bucket with it as blocks of signatures and sets, which
+are verified there and give at most one link for a document and block. Every candidate pair is thus decided or already
+connected, so components are those of all links.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null text or one without words has none and
 is linked with nothing; rows without a key are linked with nothing and stay. Repeated rows are copies of each other,
@@ -32,6 +34,10 @@ from cuelight.llm.store import Scratch
 #: Bands, values of a band, values compared at a time, and the probability at which a pair is given up.
 BANDS, BAND, BATCH, MISS = 30, 5, 30, 1e-6
 VALUES = BANDS * BAND
+#: Members above which a component is large, and documents of a block of sets; both sides of a meeting have blocks of this size.
+LARGE, SET_BLOCK = 64, 64
+#: Shingles that a meeting of two blocks counts at a time.
+CHUNK = 1 << 16
 #: Signatures of a block, and keys up to which a list of keys is copied to each executor (8 MB).
 BLOCK, BROADCAST_KEYS = 256, 1_000_000
 #: Word hashes a worker keeps at most; others are computed again.
@@ -186,6 +192,48 @@ def _across(blocks: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
     return blocks.mapInArrow(batches, "a long, b long").distinct()
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, as products of 0/1 matrices."""
+    flat = np.concatenate([*x, *y])
+    if not len(flat):
+        return np.zeros((len(x), len(y)), np.int64)
+    at = np.unique(flat, return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(at, kind="stable")
+    at, owner, out, top = at[order], owner[order], np.zeros((len(x), len(y))), int(at.max()) + 1
+    for lo in range(0, top, CHUNK):
+        some = slice(*np.searchsorted(at, [lo, lo + CHUNK]))
+        m = np.zeros((len(x) + len(y), min(CHUNK, top - lo)), np.float32)
+        m[owner[some], at[some] - lo] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _against_large(meetings: DataFrame, tests: list[tuple[int, int]], percent: int) -> DataFrame:
+    """(a, b) links of rows with a block of a large component and a block of documents near it; one per document and block."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i in range(b.num_rows):
+                x, y = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                kx, ky = (np.array([m["key"] for m in s], np.int64) for s in (x, y))
+                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, VALUES) for s in (x, y))
+                p, q = (v.ravel() for v in np.meshgrid(np.arange(len(kx)), np.arange(len(ky)), indexing="ij"))
+                at = _survive(sx[p], sy[q], tests)
+                if not len(at):
+                    continue
+                rows, cols = np.unique(p[at]), np.unique(q[at])
+                left, right = [np.array(x[r]["shingles"], np.int64) for r in rows], [np.array(y[c]["shingles"], np.int64) for c in cols]
+                both = _shared(left, right)
+                sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+                linked = 100 * both >= percent * (sizes - both)
+                hit = np.flatnonzero(linked.any(0))
+                one, other = ky[cols[hit]], kx[rows[linked[:, hit].argmax(0)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
+
+    return meetings.mapInArrow(batches, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) whose full sets reach the threshold."""
     one, other = sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b"))
@@ -227,21 +275,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
         named = members.select("bucket", "key").join(first, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
         named = scratch.table(named, "named")
-        by_component = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = scratch.table(several.filter("low < high").select("bucket"), "several")
-        sized = scratch.table(by_component.join(several, "bucket", "left_semi"), "sized")
-        few = sized.filter(F.col("n") <= BLOCK // 4).groupBy("bucket").agg(F.sum("n").alias("few"))
-        sized = scratch.table(sized.join(few, "bucket", "left"), "sized")
-        large = F.col("n") > BLOCK // 4
-        deal = F.pmod(F.xxhash64("key"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("few")) / BLOCK))
-        dealt = named.join(sized, ["bucket", "component"]).select("bucket", F.when(large, F.col("component")).alias("owner"), deal.alias("part"), "key", "component")
-        blocks = dealt.join(sigs, "key").groupBy("bucket", "owner", "part").agg(F.collect_list(F.struct("key", "component", "sig")).alias("block"))
-        blocks = scratch.table(blocks.withColumn("name", F.struct(F.coalesce("owner", F.lit(-(2**63))).alias("owner"), "part")), "blocks")
-        x, y = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "owner", "block")]) for s in "xy")
-        meet = x.join(y, "bucket").filter("name_x <= name_y and not (owner_x <=> owner_y and owner_x is not null)").select("block_x", "block_y")
-        more = scratch.table(_across(meet, tests), "across")
-        final = links.unionByName(_verified(more, sets, percent))
+        people = scratch.table(named.select("component", "key").distinct(), "keys")
+        sizes = scratch.table(people.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE), "large")
+        mixed = scratch.table(named.join(several, "bucket", "left_semi").join(sizes, "component", "left"), "mixed")
+
+        # Small components: blocks of the signatures of a bucket.
+        small = scratch.table(mixed.filter("n is null").groupBy("bucket").agg(F.count("*").alias("few")).filter("few > 1"), "small")
+        deal = F.pmod(F.xxhash64("key"), F.ceil(F.col("few") / BLOCK))
+        dealt = mixed.filter("n is null").join(small, "bucket").select("bucket", deal.alias("part"), "key", "component")
+        blocks = dealt.join(sigs, "key").groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "component", "sig")).alias("block"))
+        blocks = scratch.table(blocks, "blocks")
+        x, y = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "block")]) for s in "xy")
+        more = scratch.table(_across(x.join(y, "bucket").filter("part_x <= part_y").select("block_x", "block_y"), tests), "across")
+
+        # Large components: their members and what shares a bucket with them; of two large ones the smaller name comes to the other.
+        hosts = scratch.table(mixed.filter("n is not null").select("bucket", F.col("component").alias("host"), F.col("n").alias("host_n")).distinct(), "hosts")
+        guests = mixed.join(hosts, "bucket").filter("component <> host and (n is null or component < host)").select("host", "host_n", "key").distinct()
+        guests = scratch.table(guests, "guests")
+        invited = scratch.table(guests.groupBy("host", "host_n").agg(F.count("*").alias("guests")), "invited")
+        homes = people.join(invited, people["component"] == invited["host"]).select("host", "key", F.col("host_n").alias("n"))
+        comers = guests.join(invited.select("host", "guests"), "host").select("host", "key", F.col("guests").alias("n"))
+
+        def set_blocks(rows: DataFrame, name: str) -> DataFrame:
+            part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / SET_BLOCK))
+            full = rows.withColumn("part", part).join(sigs, "key").join(sets.dropDuplicates(["key"]), "key")
+            return scratch.table(full.groupBy("host", "part").agg(F.collect_list(F.struct("key", "sig", "shingles")).alias(name)).drop("part"), name)
+
+        meetings = set_blocks(homes, "home_block").join(set_blocks(comers, "guest_block"), "host").select("home_block", "guest_block")
+        final = links.unionByName(_verified(more, sets, percent)).unionByName(_against_large(meetings, tests, percent))
         labels = components(final, scratch)
 
     of_copy = signed.select("key", "n_shingles", "copy").join(copies, "copy", "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")).alias("first"))

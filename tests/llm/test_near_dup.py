@@ -43,6 +43,9 @@ def _check(df, rows, width, percent):
 @pytest.mark.parametrize("block", [256, 4])
 def test_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "LARGE", block // 2)
+    monkeypatch.setattr(nd, "SET_BLOCK", block // 2)
+    monkeypatch.setattr(nd, "CHUNK", 50)
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(300)]
     rows, n = [], 0
