@@ -32,7 +32,7 @@ from cuelight.llm.labelled import crc_remainder
 from cuelight.llm.store import Scratch
 
 #: Tokens of a block, tokens for each hash range, and the most that bigrams weigh against unigrams.
-BLOCK, RANGE, BIGRAM = 4_000_000, 1_000_000, 0.35
+BLOCK, RANGE, BIGRAM = 1_500_000, 1_000_000, 0.35
 #: Contexts seen this often give their bigrams half of that weight.
 HALF = 2.0
 #: Hashes of the end of a text and of its start (as a context only).
