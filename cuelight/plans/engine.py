@@ -69,7 +69,7 @@ class Engine:
                 found = found.unionByName(waiting.pop(step.slot), allowMissingColumns=True)
             if self.settings.caching:
                 found = self._kept.setdefault(key, found)
-            if step.prefix is None and step.op != "" and (step.filters or step.op == plan.steps[-1].op):
+            if step.prefix is None:  # an operator that a slot needs runs before the slot's own, which takes its place here
                 answers[step.slot] = latest = found
             left = self.frames_of(found)
         last = latest if compat else answers.get(len(query.slots) - 1, latest)
