@@ -75,3 +75,22 @@ def gradient_hash(image: np.ndarray, size: int = 16) -> np.ndarray:
     step = 200 // size
     coarse = gray[: step * size, : step * size].reshape(size, step, size, step).mean(axis=(1, 3))
     return (np.diff(coarse, axis=1) > 0).ravel()
+
+
+def colour_layout(image: np.ndarray, size: int = 8) -> np.ndarray:
+    """Mean colours on a coarse grid, between 0 and 1."""
+    step = 200 // size
+    cut = resized(image)[: step * size, : step * size].astype(np.float64)
+    return cut.reshape(size, step, size, step, 3).mean(axis=(1, 3)).ravel() / 255
+
+
+def with_boxes(image: np.ndarray, boxes: np.ndarray, colour: tuple[int, int, int] = (0, 255, 0), line: int = 1) -> np.ndarray:
+    """A copy of the image with the outlines of (xmin, ymin, xmax, ymax) boxes, clipped to the image."""
+    out = image.copy()
+    h, w = out.shape[:2]
+    for box in boxes:
+        x0, y0, x1, y1 = (int(v) for v in (max(0, box[0]), max(0, box[1]), min(w - 1, box[2]), min(h - 1, box[3])))
+        if x0 <= x1 and y0 <= y1:
+            out[y0 : y0 + line, x0 : x1 + 1] = out[max(y0, y1 - line + 1) : y1 + 1, x0 : x1 + 1] = colour
+            out[y0 : y1 + 1, x0 : x0 + line] = out[y0 : y1 + 1, max(x0, x1 - line + 1) : x1 + 1] = colour
+    return out

@@ -46,6 +46,54 @@ def similarity(frames: DataFrame, target: bytes, width: int, height: int, out: s
     return frames.withColumn(out, distance("framebytes", "width", "height"))
 
 
+def classify(frames: DataFrame, weights: np.ndarray, bias: np.ndarray, labels: list[str], out: str = "classes", size: int = 8) -> DataFrame:
+    """Top class of a linear model over the frame's colour layout, with its softmax score, as one detection without a box."""
+
+    @F.pandas_udf("cls int, score double")
+    def top(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for raw, width, height in parts:
+            x = np.array([images.colour_layout(images.as_image(r, w, h), size) for r, w, h in zip(raw, width, height, strict=True)]).reshape(len(raw), -1)
+            z = x @ weights + bias
+            odds = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+            best = z.argmax(1) if len(z) else np.zeros(0, int)
+            yield pd.DataFrame({"cls": best.astype(np.int32), "score": odds[np.arange(len(z)), best] / odds.sum(1) if len(z) else np.zeros(0)})
+
+    # Filters on the class would run the model twice if Spark took it for repeatable.
+    found = frames.withColumn("_t", top.asNondeterministic()("framebytes", "width", "height"))
+    name = F.element_at(F.array(*map(F.lit, labels)), F.col("_t.cls") + 1)
+    one = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], name.alias("label"), F.col("_t.cls").alias("cls"), F.col("_t.score").alias("score"))
+    return found.withColumn(out, F.array(one)).drop("_t")
+
+
+def embed(frames: DataFrame, out: str = "img2vec", size: int = 8) -> DataFrame:
+    """Colour layout of each frame as an array of floats: what embedding-based operators read."""
+
+    @F.pandas_udf("array<float>")
+    def layout(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for raw, width, height in parts:
+            yield pd.Series([images.colour_layout(images.as_image(r, w, h), size).astype(np.float32) for r, w, h in zip(raw, width, height, strict=True)])
+
+    return frames.withColumn(out, layout("framebytes", "width", "height"))
+
+
+def transfer(frames: DataFrame, out: str = "transfer") -> DataFrame:
+    """Seconds that copying a frame into an array takes: the baseline of what it costs to reach a model."""
+
+    @F.pandas_udf("double")
+    def copy(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import time
+
+        for raw, width, height in parts:
+            took = []
+            for r, w, h in zip(raw, width, height, strict=True):
+                start = time.perf_counter()
+                images.as_image(r, w, h).copy()
+                took.append(time.perf_counter() - start)
+            yield pd.Series(took, dtype=float)
+
+    return frames.withColumn(out, copy("framebytes", "width", "height"))
+
+
 def _in_order(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda group: fn(group.sort_values("id", kind="stable").reset_index(drop=True))
 

@@ -479,6 +479,33 @@ def frame_similarity(spark, sf_dir):
     return models.similarity(frames, bytes(target.framebytes), target.width, target.height).select("uri", "id", "similarity")
 
 
+@_query("frame_classes")
+def frame_classes(spark, sf_dir):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    frames = models.classify(frame_sources.synthetic_frames(spark, 64), rng.normal(size=(192, 3)), np.zeros(3), ["car", "person", "dog"])
+    return predictions.explode_structs(frames, "classes", ["uri", "id"]).select("uri", "id", "label", "cls", F.round("score", 9).alias("score"))
+
+
+@_query("frame_embeddings")
+def frame_embeddings(spark, sf_dir):
+    return models.embed(frame_sources.synthetic_frames(spark, 64)).select("uri", "id", "img2vec")
+
+
+@_query("plan_choice")
+def plan_choice(spark, sf_dir):
+    """The cheapest plan for the first built-in query by published latencies, on each platform."""
+    from cuelight.plans.catalog import default_stats
+    from cuelight.plans.cost import choose
+
+    given = [h.equals("odx", "od"), h.equals("od", "odn"), h.equals("ed", "edc")]
+    stats = default_stats({"fd": 0.5, "odx": 0.2, "od": 0.25, "odn": 0.3, "ed": 0.1, "edc": 0.1})
+    plans = enumerate_plans(angrybernie(), given)
+    best = [choose(plans, stats, 3600, target="cost", platforms=(on,)) for on in ("cpu", "t4", "v100")]
+    return spark.createDataFrame([(c.platform, c.plan.key, round(c.cost, 6), round(c.price, 9)) for c in best], "platform string, steps string, cost double, price double")
+
+
 @_query("track")
 def track(spark, sf_dir):
     seen = objects(detections(spark, sf_dir)).withColumn("uri", F.concat(F.lit("cam"), (F.col("id") % 8).cast("string"))).drop("track")

@@ -121,3 +121,20 @@ def test_proxy_split_keeps_nulls(spark):
     df = spark.createDataFrame([(1, 0.79), (2, 0.80), (3, None)], "id long, score double")
     low, high = flt.proxy_split(df, 0.8)
     assert {r.id for r in low.collect()} == {1, 3} and {r.id for r in high.collect()} == {2}
+
+
+def test_catalog_and_records(spark):
+    from cuelight.plans import catalog, records
+
+    stats = catalog.default_stats({"od": 0.5})
+    assert stats.latency["odx"] == 10.2665 and stats.gpu_latency["i2v"] == "NOT_GPU_OP"
+    assert catalog.ranks()["odx"] == ("objects", 5) and set(catalog.LATENCIES) <= {e.name for e in catalog.OPERATORS.values()}
+    line = catalog.transfer_line({0: 1.0, 10: 3.0})
+    assert line(5) == pytest.approx(2.0) and line(-100) == 0
+    plan = Plan((Step("od", (), 0), Step("odx", (), 1)))
+    assert cost.plan_cost(plan, stats, 1600) == pytest.approx(149.44 + 513.325)
+    assert '"platform": "t4"' in records.costs_as_json([plan], stats, 1600, ("cpu", "t4"))
+    took = {}
+    with records.timed(took, "run"):
+        pass
+    assert records.run_record(spark, took, {"query": "q"}).columns == ["query", "run_s"]

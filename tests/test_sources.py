@@ -50,6 +50,13 @@ def test_images():
     assert (images.gradient_hash(moved) != images.gradient_hash(moved)).sum() == 0
 
 
+def test_layout_and_boxes():
+    flat = np.full((20, 30, 3), 51, np.uint8)
+    assert np.allclose(images.colour_layout(flat), 0.2) and images.colour_layout(flat).shape == (192,)
+    drawn = images.with_boxes(flat, np.array([[2, 3, 6, 8], [-5, -5, 100, 100], [9, 9, 8, 8]], float))
+    assert (drawn[3, 2:7] == (0, 255, 0)).all() and (drawn[5, 4] == 51).all() and (drawn[0, 0] == (0, 255, 0)).all()
+
+
 def test_motion_does_not_depend_on_segments(spark):
     frames = fr.synthetic_frames(spark, 40, videos=2)
     one, many = (sorted(map(tuple, models.motion(frames, n).collect())) for n in (1000, 6))
