@@ -50,9 +50,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, lang, source, n_tokens, input_ids, and whether decoding gives the text again."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), BYTE_BPE), BYTE_BPE)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids", lossless.alias("lossless"))
+    coded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), BYTE_BPE)
+    return coded.select("doc_id", "lang", "source", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids", "lossless")
 
 
 STAGES = [

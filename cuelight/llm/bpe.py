@@ -28,6 +28,8 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 CHUNK_PATTERN = r" ?\S+|\s+(?!\S)|\s+"
 #: Entries that a worker's table of known pieces holds at most; further pieces are computed each time.
 KNOWN_PIECES = 400_000
+#: Rows whose ids a worker holds at a time.
+SLICE = 64
 
 _PIECES, _CHUNKS = regex.compile(PIECE_PATTERN), regex.compile(CHUNK_PATTERN)
 _NEVER = 1 << 62
@@ -157,6 +159,13 @@ def codec_of(vocabulary: str) -> Codec:
     return _CODECS[key]
 
 
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows, as ids in Python take many times the room of their text."""
+    for b in parts:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
 def _shared_vocabulary(df: DataFrame, path: str):
     """The vocabulary file's text for all executors: one published file of fixed size (1.6 MB), read on the driver."""
     with open(path, encoding="utf-8") as f:
@@ -171,7 +180,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", out: str = "
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for b in parts:
+        for b in _slices(parts):
             ids = pa.array((codec.encode(t) for t in b.column(text).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
@@ -186,13 +195,30 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "input_ids", out: str
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for b in parts:
+        for b in _slices(parts):
             texts = pa.array((codec.decode(x or []) for x in b.column(ids).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, out])
 
     return plain.mapInArrow(batches, schema)
 
 
+def encode_checked(df: DataFrame, vocabulary_path: str, text: str = "text", out: str = "input_ids", check: str = "lossless") -> DataFrame:
+    """``df`` with the ids of its texts, and whether decoding them gives the text again, in one narrow pass."""
+    shared = _shared_vocabulary(df, vocabulary_path)
+    plain = df.drop(out, check)
+    schema = T.StructType([*plain.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared.value)
+        for b in _slices(parts):
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            ids = [codec.encode(t) for t in texts]
+            same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*b.schema.names, out, check])
+
+    return plain.mapInArrow(batches, schema)
+
+
 def round_trip_digests(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text in one narrow pass; per row the key, n_tokens, ids_sha256 and decoded_sha256."""
     shared = _shared_vocabulary(df, vocabulary_path)

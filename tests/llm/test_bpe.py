@@ -75,5 +75,7 @@ def test_rows(spark, both):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.round_trip_digests(df.limit(0), BYTE_BPE).count() == 0
+    checked = bpe.encode_checked(df.withColumnRenamed("n_tokens", "lossless"), BYTE_BPE).collect()
+    assert all(r.lossless and r.input_ids == lib.encode(r.text or "", add_special_tokens=False).ids for r in checked) and len(checked) == 5
     back = bpe.decode(bpe.encode(df, BYTE_BPE), BYTE_BPE).collect()
     assert {(r.text or "") == r.decoded for r in back} == {True}
