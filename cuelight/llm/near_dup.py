@@ -34,6 +34,8 @@ from cuelight.llm.store import Scratch
 #: Bands, values of a band, values compared at a time, and the probability at which a pair is given up.
 BANDS, BAND, BATCH, MISS = 30, 5, 30, 1e-6
 VALUES = BANDS * BAND
+#: 16-bit words of a stored signature: a value each, and 32 bits of each band's hash.
+WIDTH = VALUES + 2 * BANDS
 #: Members above which a component is large, and documents of a block of sets; both sides of a meeting have blocks of this size.
 LARGE, SET_BLOCK = 64, 64
 #: Shingles that a meeting of two blocks counts at a time.
@@ -41,7 +43,7 @@ CHUNK = 1 << 16
 #: Signatures of a block, and keys up to which a list of keys is copied to each executor (8 MB).
 BLOCK, BROADCAST_KEYS = 256, 1_000_000
 #: Word hashes a worker keeps at most; others are computed again.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 120_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = (np.random.default_rng(20240501).integers(0, 2**63, VALUES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -126,7 +128,7 @@ def _survive(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> np.n
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """key, n_shingles, copy (digest of the words), sig (16 bits a value) and bands of (key, text) rows."""
+    """key, n_shingles, copy (digest of the words), sig (values and bands, WIDTH words) and bands of (key, text) rows."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -138,8 +140,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 if len(s):
                     low = signature(s)
                     copies.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    sigs.append(low.astype(np.uint16).tobytes())
-                    bands.append(band_hashes(low).view(np.int64))
+                    hashes = band_hashes(low)
+                    sigs.append(low.astype(np.uint16).tobytes() + hashes.astype(np.uint32).tobytes())
+                    bands.append(hashes.view(np.int64))
                 else:
                     copies.append(None)
                     sigs.append(None)
@@ -165,7 +168,7 @@ def _likely(pairs: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, VALUES) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, WIDTH) for i in (2, 3))
             keep = pa.array(_survive(x, y, tests))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
@@ -181,10 +184,15 @@ def _across(blocks: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
                 x, y = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 kx, ky = (np.array([m["key"] for m in s], np.int64) for s in (x, y))
                 cx, cy = (np.array([m["component"] for m in s], np.int64) for s in (x, y))
-                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, VALUES) for s in (x, y))
+                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, WIDTH) for s in (x, y))
+                bx, by = (np.ascontiguousarray(s[:, VALUES:]).view(np.uint32) for s in (sx, sy))
+                # A pair comes out where it shares its first band: the bands that all of this bucket share tell which one this is.
+                here = (bx == bx[0]).all(0) & (by == bx[0]).all(0)
                 p, q = np.nonzero(cx[:, None] != cy[None, :])
                 for lo in range(0, len(p), 1 << 16):
                     u, v = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
+                    first = here[(bx[u] == by[v]).argmax(1)]
+                    u, v = u[first], v[first]
                     at = _survive(sx[u], sy[v], tests)
                     one, other = kx[u[at]], ky[v[at]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
@@ -217,7 +225,7 @@ def _against_large(meetings: DataFrame, tests: list[tuple[int, int]], percent: i
             for i in range(b.num_rows):
                 x, y = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 kx, ky = (np.array([m["key"] for m in s], np.int64) for s in (x, y))
-                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, VALUES) for s in (x, y))
+                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, WIDTH) for s in (x, y))
                 p, q = (v.ravel() for v in np.meshgrid(np.arange(len(kx)), np.arange(len(ky)), indexing="ij"))
                 at = _survive(sx[p], sy[q], tests)
                 if not len(at):
