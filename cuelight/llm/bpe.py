@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelight.llm.store import in_worker
+
 #: The pre-tokenizer's pattern of the byte-level vocabularies.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A chunk is cut further by PIECE_PATTERN on its own, as no piece crosses from one chunk into the next.
@@ -153,6 +155,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec_of(vocabulary: str) -> Codec:
     """The codec of a vocabulary, built once in each Python worker."""
+    in_worker("bpe", _CODECS.clear)
     key = hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = Codec(vocabulary)

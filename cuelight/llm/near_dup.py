@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm.components import components
-from cuelight.llm.store import Scratch
+from cuelight.llm.store import Scratch, in_worker, small_batches
 
 #: Bands, values of a band, values compared at a time, and the probability at which a pair is given up.
 BANDS, BAND, BATCH, MISS = 30, 5, 30, 1e-6
@@ -131,6 +131,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     """key, n_shingles, copy (digest of the words), sig (values and bands, WIDTH words) and bands of (key, text) rows."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("near_dup", _HASHES.clear)
         for b in parts:
             sizes, copies, sigs, bands = [], [], [], []
             for t in b.column(1):
@@ -154,6 +155,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("near_dup", _HASHES.clear)
         for b in parts:
             for lo in range(0, b.num_rows, 64):
                 some = b.slice(lo, 64)
@@ -249,8 +251,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Each row's key, n_shingles, component_id (smallest key that links reach) and kept (whether the key is that one)."""
+def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: signed rows, the first key of each repeated text, and the component of each linked key."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     tests = least_matches(percent)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -314,7 +316,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         meetings = set_blocks(homes, "home_block").join(set_blocks(comers, "guest_block"), "host").select("home_block", "guest_block")
         final = links.unionByName(_verified(more, sets, percent)).unionByName(_against_large(meetings, tests, percent))
         labels = components(final, scratch)
+    return signed, copies, labels
+
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Each row's key, n_shingles, component_id (smallest key that links reach) and kept (whether the key is that one)."""
+    with small_batches(docs.sparkSession):  # all that needs Python runs in here; what is returned joins stored tables
+        signed, copies, labels = _labelled(docs, key, text, width, percent)
     of_copy = signed.select("key", "n_shingles", "copy").join(copies, "copy", "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")).alias("first"))
     labelled = of_copy.join(labels.select(F.col("key").alias("first"), "component"), "first", "left")
     out = labelled.select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "first").alias("component_id"))

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from cuelight.llm.boosting import Isotonic, Logistic, Trees, logit
 from cuelight.llm.labelled import bounded, share
+from cuelight.llm.store import in_worker
 
 #: Labelled and unlabelled rows used, rounds, rows exchanged in a round, weight of such rows and least confidence.
 SAMPLE, POOL, ROUNDS, EXCHANGED, WEIGHT, SURE = 8_000, 8_000, 4, 400, 0.3, 0.9
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("quality")
         for b in parts:
             p, q, r = _scores(b, (1, 2, 3, 4), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in (p, q, r)), pa.array(r >= threshold)], ["key", "text_score", "meta_score", "quality", "kept"])
@@ -193,6 +195,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], *[c.alias(f"of_{n}") for n, c in _columns().items()])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("quality")
         for b in parts:
             _, _, quality = _scores(b, (width, width + 1, width + 2, width + 3), shared.value)
             kept = b.filter(pa.array(quality >= threshold))

@@ -9,10 +9,26 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _NUMBERS = itertools.count()
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
+def in_worker(owner: str, free: Callable[[], None] | None = None) -> None:
+    """To be called where an operator starts in a Python worker: frees the lookup tables that others have left there.
+
+    Workers live on from stage to stage, and with them what an earlier stage has kept; ``free`` empties the owner's.
+    """
+    for name in [n for n in _LEFT if n != owner]:
+        _LEFT.pop(name)()
+    if free is not None:
+        _LEFT[owner] = free
+    pa.default_memory_pool().release_unused()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,6 +63,18 @@ class Scratch:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path), True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Jobs that run inside send Python at most about ``most`` bytes at a time: for rows that hold whole blocks."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a registered query."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

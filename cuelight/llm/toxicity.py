@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.boosting import Isotonic, Trees
 from cuelight.llm.labelled import bounded, crc_remainder, share
+from cuelight.llm.store import in_worker
 
 #: Labelled rows used, entries of the lexicon, least toxic texts and surroundings of an entry, least ratio of its rates.
 SAMPLE, LEXICON, LEAST_TEXTS, LEAST_AROUND, LEAST_RATIO = 12_000, 20_000, 3, 5, 12.0
@@ -34,7 +35,7 @@ BEGINNINGS = range(4, 8)
 #: Words on either side in which a word of the second person counts as near.
 NEAR = 5
 #: Words a worker keeps the codes of at most; others are computed again.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 #: Words of the second person in the languages of the corpus.
 SECOND_PERSON = set("you your yours yourself yourselves u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
 #: Signs that stand for letters.
@@ -214,6 +215,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         own: Model = shared.value
         reader = Reader(own.lexicon)
         for b in parts:
@@ -230,6 +232,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text: str = "tex
     at = docs.columns.index(text)
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         own: Model = shared.value
         reader = Reader(own.lexicon)
         for b in parts:
