@@ -1,9 +1,14 @@
 """Main text of web pages, with the templates of each site removed.
 
-A first pass parses every page into its element tree and hashes element subtrees; Spark counts, for each host, on how
-many pages a subtree stands, and a second pass deletes the subtrees that recur across many pages of the host, next to
-the elements whose tag, role or class says what they are (navigation, footers, forms, adverts, comments, ...). What is
-left of the article, or of the main element or the body where there is none, is the text.
+A first pass parses every page into its element tree and hashes element subtrees; Spark counts, for each host, in how
+many different surroundings a subtree stands, and a second pass deletes the subtrees that recur in many surroundings,
+next to the elements whose tag, role or class says what they are (navigation, footers, forms, adverts, comments, ...).
+What is left of the article, or of the main element or the body where there is none, is the text.
+
+The surroundings of a subtree are the running text of the page's main part outside of it, so that copies of one page
+count once. Running text is text in paragraphs, headings, lists, tables and the like, and any text of LONG words in a
+row; on a page without it, all text. Where templates together hold more than half of a page's running text, the page is
+taken for a copy and those of them that hold any stay.
 
 The article's own running text (headings, paragraphs, lists, tables) is never taken for a template, however often copies
 of the same passage stand on a host: inside an article only containers without running text of the article count. So
@@ -25,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelight.llm.store import Scratch
 from cuelight.llm.url_filter import host_of
 
 #: Element names by what they mean for the text.
@@ -44,8 +50,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: A subtree is a template when at least this many pages of the host have it, and at least this share of them.
+#: A subtree is a template when it stands in at least this many surroundings on the host, and in as many as this share of its different pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.1
+#: Text of so many words in a row is running text wherever it stands.
+LONG = 12
 
 
 class Element:
@@ -156,39 +164,81 @@ def _within(e: Element, other: Element) -> bool:
     return e is not None
 
 
-def subtree_hashes(elements: list[Element]) -> dict[int, str]:
-    """Element number -> hash of its subtree, of the elements that a template may hold.
-
-    Elements below furniture are left out, as they go with it, and so is running text of an article.
+def running_text(elements: list[Element]) -> tuple[list[int], list[int]]:
+    """By element number, length and hash of the running text that is shown of the subtree. Hashes of parts add up."""
+    roots = {e.number for e in main_roots(elements)}
+    shown, runs = [False] * len(elements), [False] * len(elements)
+    texts: list[tuple[int, str, bool]] = []
+    for e in elements:
+        up = e.parent
+        shown[e.number] = not e.furniture and (e.number in roots or up is not None and shown[up.number])
+        runs[e.number] = e.name in RUNNING or up is not None and runs[up.number]
+        if shown[e.number]:
+            for x in e.items:
+                if isinstance(x, str) and (words := x.split()):
+                    texts.append((e.number, " ".join(words), runs[e.number] or len(words) >= LONG))
+    every = not any(run for _, _, run in texts)
+    lengths, hashes = [0] * len(elements), [0] * len(elements)
+    for number, text, run in texts:
+        if run or every:
+            lengths[number] += len(text)
+            hashes[number] += int.from_bytes(hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).digest()[:8])
+    for e in reversed(elements[1:]):
+        lengths[e.parent.number] += lengths[e.number]
+        hashes[e.parent.number] += hashes[e.number]
+    return lengths, hashes
+
+
+def subtree_hashes(elements: list[Element]) -> dict[int, tuple[bytes, int]]:
+    """Element number -> hashes of its subtree and of its surroundings, of the elements that a template may hold.
+
+    Elements below furniture or outside of the main part are left out, as they go anyway, and so is running text of an
+    article. Number 0 has the hash of the page's running text.
     """
     digest: dict[int, bytes] = {}
     runs: dict[int, bool] = {}
+    full: dict[int, bool] = {}
     for e in reversed(elements):
-        parts, own = [e.name.encode()], e.name in RUNNING
+        parts, own, some = [e.name.encode()], e.name in RUNNING, False
         for x in e.items:
             if isinstance(x, str):
                 if x := " ".join(x.split()):
                     parts.append(b"t" + x.encode("utf-8", "replace"))
+                    some = True
             else:
                 parts.append(b"e" + digest[x.number])
-                own = own or runs[x.number]
-        digest[e.number], runs[e.number] = hashlib.md5(b"\0".join(parts), usedforsecurity=False).digest(), own
+                own, some = own or runs[x.number], some or full[x.number]
+        digest[e.number], runs[e.number], full[e.number] = hashlib.md5(b"\0".join(parts), usedforsecurity=False).digest(), own, some
     roots = {e.number for e in main_roots(elements)}
     has_article = elements[min(roots)].name in ("article", "main")
-    out, below = {}, {0: (False, 0 in roots)}
+    _, running = running_text(elements)
+
+    def signed(x: int) -> int:
+        return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+    out, below = {0: (b"", signed(running[0]))}, {0: (False, 0 in roots)}
     for e in elements[1:]:
         hidden, inside = below[e.parent.number]
-        if not hidden and e.number not in roots and e.name not in ("html", "body"):
-            if inside and has_article:
-                use = e.name in CONTAINERS and not runs[e.number]
-            else:
-                use = True
-            if use:
-                out[e.number] = digest[e.number].hex()
+        if inside and not hidden and full[e.number] and e.number not in roots and e.name not in ("html", "body"):
+            if not has_article or e.name in CONTAINERS and not runs[e.number]:
+                out[e.number] = digest[e.number], signed(running[0] - running[e.number])
         below[e.number] = (hidden or e.furniture, inside or e.number in roots)
     return out
 
 
+def deletable(elements: list[Element], templates: set[int]) -> set[int]:
+    """The templates without those that hold running text, where together they hold more than half of the page's."""
+    if not templates:
+        return templates
+    lengths, _ = running_text(elements)
+    outermost, covered = 0, {0: False}
+    for e in elements[1:]:
+        above = covered[e.parent.number]
+        covered[e.number] = above or e.number in templates
+        outermost += lengths[e.number] if covered[e.number] and not above else 0
+    return {n for n in templates if not lengths[n]} if 2 * outermost > lengths[0] else templates
+
+
 def text_of(elements: list[Element], templates: set[int] = frozenset()) -> str:
     """The text of the page's main part without furniture and the given elements, blocks joined by one space."""
     pieces: list[str] = []
@@ -198,7 +248,9 @@ def text_of(elements: list[Element], templates: set[int] = frozenset()) -> str:
             x = stack.pop()
             if isinstance(x, str):
                 pieces.append(x)
-            elif not x.furniture and x.number not in templates:
+            elif x.number in templates:
+                pieces.append("\n" if x.name in BLOCKS else "")
+            elif not x.furniture:
                 if x.name in BLOCKS:
                     pieces.append("\n")
                     stack.append("\n")
@@ -213,22 +265,27 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for host, one, source in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                for number, digest in subtree_hashes(parse(source.as_py())[1]).items():
-                    for column, value in zip(out, (host.as_py(), one.as_py(), number, digest), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for host, one, source in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2), strict=True):
+                for number, hashes in subtree_hashes(parse(source.as_py())[1]).items():
+                    for column, value in zip(out, (host, one, number, *hashes), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["host", "page", "number", "subtree"])
-
-    nodes = rows.select("host", "page", "html").mapInArrow(hashed, "host string, page string, number int, subtree string")
-    sizes = rows.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
-    common = nodes.groupBy("host", "subtree").agg(F.approx_count_distinct("page", 0.02).alias("on"))
-    common = common.filter(F.col("on") >= LEAST_PAGES).join(sizes, "host").filter(F.col("on") >= LEAST_SHARE * F.col("pages")).select("host", "subtree")
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["host", "page", "number", "subtree", "around"])
+
+    nodes = rows.select("host", "page", "html").mapInArrow(hashed, "host string, page string, number int, subtree binary, around long")
+    counted = nodes.groupBy("host", "subtree").agg(F.count_distinct("around").alias("on")).filter((F.col("on") >= LEAST_PAGES) | (F.length("subtree") == 0))
+    counted = Scratch(pages.sparkSession, "html").table(counted, "counted")
+    sizes = counted.filter(F.length("subtree") == 0).select("host", F.col("on").alias("pages"))
+    common = counted.filter(F.length("subtree") > 0).join(sizes, "host").filter(F.col("on") >= LEAST_SHARE * F.col("pages")).select("host", "subtree")
     marked = nodes.join(common, ["host", "subtree"]).groupBy("page").agg(F.collect_set("number").alias("templates"))
 
     def extracted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            texts = [text_of(parse(source.as_py())[1], set(t.as_py() or ())) for source, t in zip(b.column(2), b.column(3), strict=True)]
+            texts = []
+            for source, t in zip(b.column(2), b.column(3), strict=True):
+                _, elements = parse(source.as_py())
+                texts.append(text_of(elements, deletable(elements, set(t.as_py() or ()))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["key", "url", "text", "n_chars"])
 
     joined = rows.join(marked, "page", "left").select("key", "url", "html", "templates")

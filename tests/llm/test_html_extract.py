@@ -45,6 +45,30 @@ def test_site_template(spark):
     assert h.extract_text(df.limit(0)).count() == 0
 
 
+def _texts(spark, rows):
+    got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_copies_without_article(spark):
+    story = "<div id='c'><p>A long story that three pages of the site tell.</p><p>It ends here.</p></div>"
+    rows = [(i, f"http://d.com/{i}", f"<body>{story}</body>") for i in range(3)]
+    rows += [(10 + i, f"http://e.com/{i}", f"<body><span>No. {i}</span>{story}</body>") for i in range(3)]
+    rows += [(20 + i, f"http://f.com/{i}", f"<body><h1>Head {i}</h1>{story}</body>") for i in range(3)]
+    rows += [(30 + i, f"http://g.com/{i}", f"<body><div>{'copied without any tag ' * 5}</div><p>{i}</p></body>") for i in range(3)]
+    rows += [(40 + i, f"http://h.com/{i}", f"<body><p>Words of page {i % 2}, and more</p><div><p>shared by two</p></div></body>") for i in range(6)]
+    story = "A long story that three pages of the site tell. It ends here."
+    want = {i: story for i in range(3)} | {10 + i: f"No. {i} {story}" for i in range(3)} | {20 + i: f"Head {i} {story}" for i in range(3)}
+    want |= {30 + i: f"{'copied without any tag ' * 5}{i}" for i in range(3)}
+    want |= {40 + i: f"Words of page {i % 2}, and more shared by two" for i in range(6)}
+    assert _texts(spark, rows) == want
+
+
+def test_template_beside_copies(spark):
+    rows = [(i, f"http://k.com/{i}", f"<body><p>Own words of the page {max(0, i - 30)}</p><div><p>Same notice</p></div></body>") for i in range(36)]
+    assert _texts(spark, rows) == {i: f"Own words of the page {max(0, i - 30)}" for i in range(36)}
+
+
 def test_whole_table(spark, sf_dir):
     import html as entities
     import re
