@@ -10,9 +10,9 @@ count once. Running text is text in paragraphs, headings, lists, tables and the
 row; on a page without it, all text. Where templates together hold more than half of a page's running text, the page is
 taken for a copy and those of them that hold any stay.
 
-The article's own running text (headings, paragraphs, lists, tables) is never taken for a template, however often copies
-of the same passage stand on a host: inside an article only containers without running text of the article count. So
-nothing but page furniture is dropped.
+Inside an article any recurring container counts (CONTAINERS: divs, sections, lists, tables, ...), with paragraphs or
+list items in it or without. Exempt are single headings, paragraphs, quotes, list items and cells and what is inside a
+line, unless they stand in such a container: the article's own passages stay however often a host repeats them.
 
 Defined results: null html is the empty text; broken markup is read to its end, an unfinished tag at the end is dropped
 and an unfinished character reference stays as text; white space in a block becomes one space, blocks are joined by one
@@ -38,7 +38,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe noframes xmp template".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = set("aside button canvas datalist dialog embed fieldset footer form head iframe input math menu nav noframes noscript object optgroup option script search select style svg template textarea title xmp".split())
-CONTAINERS = set("aside center details dialog div dl footer form header menu nav ol section table ul".split())
+CONTAINERS = set("address article aside center details dialog dir div dl figure footer form header menu nav ol section table ul".split())
 RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = set("ad ads adv advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar sponsor sponsored subscribe toolbar widget".split())
@@ -50,8 +50,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: A subtree is a template when it stands in at least this many surroundings on the host, and in as many as this share of its different pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.1
+#: A subtree is a template when it stands in at least LEAST_PAGES surroundings on the host, and in LEAST_SHARE of its different pages or MANY_PAGES surroundings.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.1, 50
 #: Text of so many words in a row is running text wherever it stands.
 LONG = 12
 
@@ -192,14 +192,13 @@ def running_text(elements: list[Element]) -> tuple[list[int], list[int]]:
 def subtree_hashes(elements: list[Element]) -> dict[int, tuple[bytes, int]]:
     """Element number -> hashes of its subtree and of its surroundings, of the elements that a template may hold.
 
-    Elements below furniture or outside of the main part are left out, as they go anyway, and so is running text of an
-    article. Number 0 has the hash of the page's running text.
+    Elements below furniture or outside of the main part are left out, as they go anyway, and so is what is no container
+    in an article. Number 0 has the hash of the page's running text.
     """
     digest: dict[int, bytes] = {}
-    runs: dict[int, bool] = {}
     full: dict[int, bool] = {}
     for e in reversed(elements):
-        parts, own, some = [e.name.encode()], e.name in RUNNING, False
+        parts, some = [e.name.encode()], False
         for x in e.items:
             if isinstance(x, str):
                 if x := " ".join(x.split()):
@@ -207,8 +206,8 @@ def subtree_hashes(elements: list[Element]) -> dict[int, tuple[bytes, int]]:
                     some = True
             else:
                 parts.append(b"e" + digest[x.number])
-                own, some = own or runs[x.number], some or full[x.number]
-        digest[e.number], runs[e.number], full[e.number] = hashlib.md5(b"\0".join(parts), usedforsecurity=False).digest(), own, some
+                some = some or full[x.number]
+        digest[e.number], full[e.number] = hashlib.md5(b"\0".join(parts), usedforsecurity=False).digest(), some
     roots = {e.number for e in main_roots(elements)}
     has_article = elements[min(roots)].name in ("article", "main")
     _, running = running_text(elements)
@@ -220,7 +219,7 @@ def subtree_hashes(elements: list[Element]) -> dict[int, tuple[bytes, int]]:
     for e in elements[1:]:
         hidden, inside = below[e.parent.number]
         if inside and not hidden and full[e.number] and e.number not in roots and e.name not in ("html", "body"):
-            if not has_article or e.name in CONTAINERS and not runs[e.number]:
+            if not has_article or e.name in CONTAINERS:
                 out[e.number] = digest[e.number], signed(running[0] - running[e.number])
         below[e.number] = (hidden or e.furniture, inside or e.number in roots)
     return out
@@ -277,7 +276,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     counted = nodes.groupBy("host", "subtree").agg(F.count_distinct("around").alias("on")).filter((F.col("on") >= LEAST_PAGES) | (F.length("subtree") == 0))
     counted = Scratch(pages.sparkSession, "html").table(counted, "counted")
     sizes = counted.filter(F.length("subtree") == 0).select("host", F.col("on").alias("pages"))
-    common = counted.filter(F.length("subtree") > 0).join(sizes, "host").filter(F.col("on") >= LEAST_SHARE * F.col("pages")).select("host", "subtree")
+    common = counted.filter(F.length("subtree") > 0).join(sizes, "host").filter((F.col("on") >= LEAST_SHARE * F.col("pages")) | (F.col("on") >= MANY_PAGES)).select("host", "subtree")
     marked = nodes.join(common, ["host", "subtree"]).groupBy("page").agg(F.collect_set("number").alias("templates"))
 
     def extracted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

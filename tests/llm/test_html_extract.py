@@ -69,6 +69,18 @@ def test_template_beside_copies(spark):
     assert _texts(spark, rows) == {i: f"Own words of the page {max(0, i - 30)}" for i in range(36)}
 
 
+def test_template_inside_article(spark):
+    own = "<p>Copied passage.</p><p>Page {0} tells something of its own, in a few words, and then some more words.</p>"
+    parts = ("<div class='x9'><p>Notice to readers</p></div>", "<ul><li>One link</li><li>Two links</li></ul>", "<dl><dt>a</dt><dd>b</dd></dl>", "<table><tr><td>c</td></tr></table>")
+    rows = [(i, f"http://m.com/{i}", f"<article>{own.format(i)}{parts[i % 4]}</article><div>{i}</div>") for i in range(16)]
+    rows += [(100 + i, f"http://n.com/{i}", f"<main>{own.format(i)}{parts[0] if i < h.MANY_PAGES else ''}</main>") for i in range(12 * h.MANY_PAGES)]
+    story = "<div><p>A story.</p><ul><li>With a list</li></ul></div>"
+    rows += [(2000 + i, f"http://o.com/{i}", f"<article>{story}</article><p>{i}</p>") for i in range(9)]
+    text = "Copied passage. Page {0} tells something of its own, in a few words, and then some more words."
+    want = {i: text.format(i) for i in range(16)} | {100 + i: text.format(i) for i in range(12 * h.MANY_PAGES)} | {2000 + i: "A story. With a list" for i in range(9)}
+    assert _texts(spark, rows) == want
+
+
 def test_whole_table(spark, sf_dir):
     import html as entities
     import re
