@@ -1,6 +1,6 @@
 """Gradient-boosted trees, logistic regression and isotonic calibration on small dense matrices (NumPy only).
 
-They are fitted on the driver on a bounded matrix of features, never on texts, and sent to the executors as arrays.
+They are fitted on the driver on a matrix of features, never on texts, and sent to the executors as arrays.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Trees:
         mean = (np.sum(w * y) + 0.5) / (np.sum(w) + 1)
         self.base = float(np.log(mean / (1 - mean)))
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
-        code = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)]) if len(y) else np.zeros((x.shape[1], 0), int)
+        code = np.stack([np.searchsorted(c, v, side="left").astype(np.min_scalar_type(self.bins)) for c, v in zip(cuts, x.T, strict=True)]) if len(y) else np.zeros((x.shape[1], 0), int)
         f = np.full(len(y), self.base)
         for _ in range(self.rounds if len(y) else 0):
             p = sigmoid(f)

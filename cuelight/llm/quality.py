@@ -1,12 +1,15 @@
 """Quality by co-training: a classifier of the text and one of the page's metadata teach each other.
 
-Both views start from the same labelled rows. In each round either view labels the unlabelled rows it is most sure of,
-as many of each class as the labelled rows suggest, and hands them to the other view, which learns from them at a lower
-weight. Afterwards each view is calibrated on labelled rows that neither has learned from, and a logistic model on the
+Both views start from the same labelled rows. In each round either view scores all unlabelled rows, labels those it is
+most sure of, as many of each class as the labelled rows suggest and in proportion to the unlabelled rows, and hands them
+to the other view, which learns from them at a lower weight. Afterwards each view is calibrated on labelled rows that neither has learned from, and a logistic model on the
 two calibrated log-odds, fitted on the same rows, gives the score; a view that tells little gets little weight.
 
-Bounds: at most about SAMPLE labelled and POOL unlabelled rows are used, chosen by the hash of their id; only their
-features reach the driver. Every text is scored whole. Defined results: null and empty texts are scored like any text
+Bounds: at most about SAMPLE labelled rows are used, chosen by the hash of their id. The features of all rows are stored
+once; a round is two narrow passes over those of the unlabelled rows, one that counts levels of confidence and one that
+fetches the rows above the level wanted. Only features of labelled and pseudo-labelled rows reach the driver, the latter
+about EXCHANGED in POOL of the unlabelled rows for each view and round. Beyond POOL rows each weighs the less, so that
+pseudo-labels together keep their weight against the bounded labelled rows. Every text is scored whole. Defined results: null and empty texts are scored like any text
 without words, null metadata as a value of its own; without labels, or with labels of one class, every score is the
 same; rows without an id are scored. Other columns are carried by ``keep_good`` and never read.
 """
@@ -25,9 +28,9 @@ from pyspark.sql import types as T
 
 from cuelight.llm.boosting import Isotonic, Logistic, Trees, logit
 from cuelight.llm.labelled import bounded, share
-from cuelight.llm.store import in_worker
+from cuelight.llm.store import Scratch, in_worker
 
-#: Labelled and unlabelled rows used, rounds, rows exchanged in a round, weight of such rows and least confidence.
+#: Labelled rows used, rounds, rows exchanged in a round of each POOL unlabelled rows, weight of such rows and least confidence.
 SAMPLE, POOL, ROUNDS, EXCHANGED, WEIGHT, SURE = 8_000, 8_000, 4, 400, 0.3, 0.9
 #: Buckets that languages and sources are hashed into, and rows of metadata calibrating the views (one part in FOLDS).
 LANGS, SOURCES, FOLDS = 16, 64, 4
@@ -75,6 +78,18 @@ def meta_features(lang: int, source: int, size: float) -> list[float]:
     return out
 
 
+def meta_matrix(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``meta_features`` of many rows."""
+    out = np.zeros((len(lang), LANGS + SOURCES + 6))
+    for first, bucket in ((0, lang), (LANGS, source)):
+        at = np.flatnonzero(bucket >= 0)
+        out[at, first + bucket[at].astype(int)] = 1.0
+    at = np.flatnonzero(size >= 0)
+    step = np.log10(1 + size[at])
+    out[at, LANGS + SOURCES :] = np.column_stack([np.ones(len(at)), step, *(np.maximum(0.0, step - k) for k in (2, 2.5, 3, 3.5))])
+    return out
+
+
 @dataclass
 class Model:
     text: Trees | None
@@ -93,32 +108,103 @@ class Model:
         return p, q, self.combine.probability(np.column_stack([logit(p, 1e-3), logit(q, 1e-3)]))
 
 
+#: Steps of the log-odds that confidence is counted in.
+_STEPS = 256
+
+
+def _levels(p: np.ndarray, ids: np.ndarray, taught: np.ndarray) -> np.ndarray:
+    """Level of confidence of each row, positive for good; 0 where the view isn't sure or the other one has the row."""
+    level = np.rint(_STEPS * logit(p, 1e-9)).astype(np.int64)
+    return np.where(((p >= SURE) | (p <= 1 - SURE)) & ~np.isin(ids, taught), level, 0)
+
+
+def _bar(counts: dict[int, int], want: int) -> tuple[int, float]:
+    """The least level needed for ``want`` rows, and the share of the rows at that level which makes up the number."""
+    for level in sorted(counts, reverse=True):
+        if counts[level] >= want:
+            return level, want / counts[level]
+        want -= counts[level]
+    return 0, 0.0
+
+
+def _over(level: np.ndarray, ids: np.ndarray, bar: tuple[int, float]) -> np.ndarray:
+    draw = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) / 2.0**32
+    return (level > bar[0]) | (level == bar[0]) & (draw < bar[1])
+
+
+class HeldPool:
+    """Unlabelled rows as matrices: ``parts`` of ids, text features and metadata features."""
+
+    def __init__(self, x: np.ndarray, z: np.ndarray):
+        self.size, self.part = len(x), (np.arange(len(x)), x, z)
+
+    def counts(self, models: dict, taught: dict) -> list[tuple[str, int, int]]:
+        return _counted(self.part, models, taught)
+
+    def rows(self, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        ids, *views = self.part
+        return [(other, ids[at], views[other == "meta"][at], label) for other, at, label in _chosen(self.part, models, taught, bars)]
+
+    def features(self, view: str, rows: np.ndarray) -> np.ndarray:
+        return rows
+
+
+def _counted(part: tuple, models: dict, taught: dict) -> list[tuple[str, int, int]]:
+    """The view that is taught, level and number of rows."""
+    ids, x, z = part
+    out = []
+    for other, p in (("meta", models["text"].probability(x)), ("text", models["meta"].probability(z))):
+        out += [(other, int(v), int(n)) for v, n in zip(*np.unique(_levels(p, ids, taught[other]), return_counts=True), strict=True) if v]
+    return out
+
+
+def _chosen(part: tuple, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The view that is taught, the places of its new rows, and their labels."""
+    ids, x, z = part
+    out = []
+    for other, p in (("meta", models["text"].probability(x)), ("text", models["meta"].probability(z))):
+        level = _levels(p, ids, taught[other])
+        at = np.flatnonzero(((level > 0) & _over(level, ids, bars[other, 1])) | ((level < 0) & _over(-level, ids, bars[other, 0])))
+        out.append((other, at, (level[at] > 0).astype(float)))
+    return out
+
+
 def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, fold: np.ndarray, pool_x: np.ndarray, pool_z: np.ndarray) -> Model:
     """Fit both views on the rows with fold > 0, exchanging pseudo-labels on the pool; calibrate on fold 0."""
+    return co_train_on(x, z, y, fold, HeldPool(pool_x, pool_z))
+
+
+def co_train_on(x: np.ndarray, z: np.ndarray, y: np.ndarray, fold: np.ndarray, pool: HeldPool | StoredPool) -> Model:
+    """As ``co_train``, on a pool that is held or stored."""
     rate = float((y.sum() + 0.5) / (len(y) + 1))
     learn, check = fold > 0, fold == 0
     if len(set(y[learn].tolist())) < 2 or len(set(y[check].tolist())) < 2:
         return Model(None, None, None, None, None, rate)
-    taught = {"text": (np.zeros(0, int), np.zeros(0)), "meta": (np.zeros(0, int), np.zeros(0))}
-    good = float(y[learn].mean())
+    taught: dict[str, list[tuple[np.ndarray, ...]]] = {"text": [], "meta": []}
+    good, times = float(y[learn].mean()), max(1.0, pool.size / POOL)
 
     def fitted(view: str):
-        at, label = taught[view]
-        mine, pool = (x, pool_x) if view == "text" else (z, pool_z)
-        a, t = np.vstack([mine[learn], pool[at]]), np.concatenate([y[learn], label])
-        weight = np.concatenate([np.ones(int(learn.sum())), np.full(len(at), WEIGHT)])
-        return (Trees(rounds=50) if view == "text" else Logistic(ridge=5.0)).fit(a, t, weight)
+        mine = (x if view == "text" else z)[learn]
+        a, t, weight = [mine], [y[learn]], [np.ones(len(mine))]
+        if taught[view]:
+            rows, label = (np.concatenate(c) for c in list(zip(*taught[view], strict=True))[1:])
+            n = np.ones(len(rows))
+            if view == "meta":  # many rows share their metadata
+                same, n = np.unique(np.column_stack([rows, label]), axis=0, return_counts=True)
+                rows, label = same[:, :-1], same[:, -1]
+            a, t, weight = [mine, pool.features(view, rows).astype(mine.dtype)], [*t, label], [*weight, n * (WEIGHT / times)]
+        return (Trees(rounds=50) if view == "text" else Logistic(ridge=5.0)).fit(np.vstack(a), np.concatenate(t), np.concatenate(weight))
 
     models = {v: fitted(v) for v in taught}
-    for _ in range(ROUNDS if len(pool_x) else 0):
-        for view, other, pool in (("text", "meta", pool_x), ("meta", "text", pool_z)):
-            p = models[view].probability(pool)
-            free = np.setdiff1d(np.arange(len(pool)), taught[other][0])
-            best, worst = free[np.argsort(-p[free], kind="stable")], free[np.argsort(p[free], kind="stable")]
-            up = [i for i in best[: round(EXCHANGED * good)] if p[i] >= SURE]
-            down = [i for i in worst[: round(EXCHANGED * (1 - good))] if p[i] <= 1 - SURE]
-            at, label = taught[other]
-            taught[other] = np.concatenate([at, up, down]).astype(int), np.concatenate([label, np.ones(len(up)), np.zeros(len(down))])
+    for _ in range(ROUNDS if pool.size else 0):
+        known = {v: np.sort(np.concatenate([np.zeros(0, np.int64), *(ids for ids, _, _ in rows)])) for v, rows in taught.items()}
+        levels: dict[tuple[str, int], dict[int, int]] = {(v, label): {} for v in taught for label in (0, 1)}
+        for other, level, n in pool.counts(models, known):
+            at = levels[other, int(level > 0)]
+            at[abs(level)] = at.get(abs(level), 0) + n
+        bars = {k: _bar(v, round(EXCHANGED * times * (good if k[1] else 1 - good))) for k, v in levels.items()}
+        for other, *new in pool.rows(models, known, bars):
+            taught[other].append(tuple(new))
         models = {v: fitted(v) for v in taught}
     text_calibration = Isotonic().fit(models["text"].probability(x[check]), y[check])
     meta_calibration = Isotonic().fit(models["meta"].probability(z[check]), y[check], prior=20.0)
@@ -142,32 +228,82 @@ def _prepared(docs: DataFrame, key: str) -> DataFrame:
 def _measured(rows: DataFrame) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            x = [text_features(t.as_py()) for t in b.column(0)]
-            z = [meta_features(*m) for m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(z, pa.list_(pa.float64())), b.column(4), b.column(5)], ["x", "z", "label", "fold"])
+            x = [text_features(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32())), *b.columns[2:]], ["key", "x", "lang", "source", "size"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "text", "lang", "source", "size").mapInArrow(batches, f"key {kind}, x array<float>, lang int, source int, size double")
+
+
+def _part(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Ids, text features and raw metadata of a batch of a stored pool."""
+    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(TEXT_FEATURES))
+    return b.column(0).to_numpy(), x, np.column_stack([b.column(i).to_numpy().astype(float) for i in (2, 3, 4)])
+
 
-    return rows.select("text", "lang", "source", "size", "label", "fold").mapInArrow(batches, "x array<double>, z array<double>, label int, fold int")
+class StoredPool:
+    """All unlabelled rows, as a stored table of id, x, lang, source and size."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.size = table, table.count()
+
+    def counts(self, models: dict, taught: dict) -> list[tuple[str, int, int]]:
+        shared = self.table.sparkSession.sparkContext.broadcast((models, taught))
+
+        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                ids, x, meta = _part(b)
+                got = list(zip(*_counted((ids, x, meta_matrix(*meta.T)), *shared.value), strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["view", "level", "n"])
+
+        rows = self.table.mapInArrow(batches, "view string, level int, n long").groupBy("view", "level").sum("n").collect()
+        shared.destroy()
+        return [tuple(r) for r in rows]
+
+    def rows(self, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        shared = self.table.sparkSession.sparkContext.broadcast((models, taught, bars))
+        names = ["view", "ids", "rows", "labels"]
+
+        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                ids, x, meta = _part(b)
+                got = [(v, ids[at].tobytes(), (x if v == "text" else meta)[at].tobytes(), label.tobytes()) for v, at, label in _chosen((ids, x, meta_matrix(*meta.T)), *shared.value) if len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], pa.binary() if i else pa.string()) for i in range(4)], names)
+
+        found = self.table.mapInArrow(batches, "view string, ids binary, rows binary, labels binary").collect()
+        shared.destroy()
+        out = []
+        for view, kind, width in (("text", np.float32, len(TEXT_FEATURES)), ("meta", np.float64, 3)):
+            ids, rows, labels = (np.frombuffer(b"".join(r[i] for r in found if r.view == view), k) for i, k in ((1, np.int64), (2, kind), (3, np.float64)))
+            order = np.argsort(ids, kind="stable")
+            out.append((view, ids[order], rows.reshape(-1, width)[order], labels[order]))
+        return out
+
+    def features(self, view: str, rows: np.ndarray) -> np.ndarray:
+        return rows if view == "text" else meta_matrix(*rows.T)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
-    """A model from bounded samples of labelled and of unlabelled rows of ``docs`` (doc columns as in the documents table)."""
+    """A model from a bounded sample of labelled and all unlabelled rows of ``docs`` (doc columns as in the documents table)."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)").dropDuplicates(["key"])
-    rows = _prepared(docs, key)
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.table(_measured(_prepared(docs, key).filter("key is not null")), "measured")
     sample = bounded(rows.join(known, "key"), "key", SAMPLE, "quality").withColumn("fold", F.floor(share(F.col("key"), "quality-fold") * FOLDS).cast("int"))
-    pool = bounded(rows.filter("key is not null").join(known, "key", "left_anti"), "key", POOL, "quality-pool")
-    got = _measured(sample.unionByName(pool.withColumns({"label": F.lit(None).cast("int"), "fold": F.lit(-1)}))).collect()
-    got.sort(key=lambda r: (r.fold, r.label or 0, r.x, r.z))
-    x = np.array([r.x for r in got], float).reshape(len(got), len(TEXT_FEATURES))
-    z = np.array([r.z for r in got], float).reshape(len(got), LANGS + SOURCES + 6)
-    fold = np.array([r.fold for r in got], int)
-    y = np.array([r.label if r.label is not None else -1 for r in got], float)
-    own = fold >= 0
-    return co_train(x[own], z[own], y[own], fold[own], x[~own], z[~own])
+    got = sample.collect()
+    unlabelled = rows.join(known, "key", "left_anti").select(F.xxhash64("key", F.lit("quality-pool")).alias("id"), "x", "lang", "source", "size")
+    pool = scratch.table(unlabelled, "pool")
+    scratch.drop(rows)
+    got.sort(key=lambda r: (r.fold, r.label, r.x, r.lang, r.source, r.size))
+    x = np.array([r.x for r in got], np.float32).reshape(len(got), len(TEXT_FEATURES))
+    z = meta_matrix(*np.array([(r.lang, r.source, r.size) for r in got], float).reshape(len(got), 3).T)
+    model = co_train_on(x, z, np.array([r.label for r in got], float), np.array([r.fold for r in got], int), StoredPool(pool))
+    scratch.drop(pool)
+    return model
 
 
 def _scores(b: pa.RecordBatch, at: tuple[int, int, int, int], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text, lang, source, size = (b.column(i) for i in at)
-    x = np.array([text_features(t.as_py()) for t in text], float).reshape(b.num_rows, len(TEXT_FEATURES))
+    x = np.array([text_features(t.as_py()) for t in text], np.float32).reshape(b.num_rows, len(TEXT_FEATURES))
     z = np.array([meta_features(*m) for m in zip(lang.to_pylist(), source.to_pylist(), size.to_pylist(), strict=True)], float).reshape(b.num_rows, LANGS + SOURCES + 6)
     return model.views(x, z)
 

@@ -34,6 +34,36 @@ def test_views_teach_each_other():
     assert q.co_train(x, z, y * 0, rng.integers(0, 4, 120), px, pz).views(px, pz)[2].std() == 0
 
 
+def test_all_unlabelled_rows_are_asked(spark, monkeypatch):
+    sizes, bars, asked = [], [], []
+    monkeypatch.setattr(q, "POOL", 40)
+    monkeypatch.setattr(q, "EXCHANGED", 8)
+    plain = q.StoredPool.rows
+
+    def rows(self, models, taught, bar):
+        got = plain(self, models, taught, bar)
+        sizes.append(self.size)
+        for view, ids, mine, labels in got:
+            assert len(ids) == len(mine) == len(labels) and not np.isin(ids, taught[view]).any()
+            bars.append((view, len(ids)))
+        asked.extend(i for view, ids, _, _ in got if view == "meta" for i in ids)
+        return got
+
+    monkeypatch.setattr(q.StoredPool, "rows", rows)
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    q.fit(docs, labels)
+    free = docs.join(labels, "doc_id", "left_anti").count()
+    assert sizes == [free] * q.ROUNDS
+    assert len(asked) == len(set(asked)) > 4 * 8  # more than a pool of 40 rows can give
+    assert max(n for view, n in bars if view == "meta") <= 1.3 * 8 * free / 40
+
+
+def test_metadata_matrix():
+    rows = [(-1, -1, -1.0), (3, 5, 700.0), (0, 63, 0.0), (15, -1, 20000.0)]
+    assert np.allclose(q.meta_matrix(*np.array(rows).T), [q.meta_features(int(a), int(b), c) for a, b, c in rows])
+
+
 def test_query_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("quality", "truth")
