@@ -26,10 +26,11 @@ def mean_centroids(vectors: DataFrame, label: str = "label", embedding: str = "e
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, centroid_label, score): the most cosine-similar centroid; ties go to the smaller label."""
+    """(key, centroid_label, score): the most cosine-similar centroid; ties go to the smaller label. More than MOST_CENTROIDS are an error."""
     few = centroids.select(F.col(label).alias("_l"), F.col("centroid").alias("_c")).limit(MOST_CENTROIDS + 1)
     packed = few.agg(F.collect_list(F.struct(F.col("_l").alias("l"), F.col("_c").alias("c"))).alias("_all"))
-    packed = packed.filter(F.size("_all") <= MOST_CENTROIDS)
+    fits = F.size("_all") <= MOST_CENTROIDS
+    packed = packed.select(F.when(fits, F.col("_all")).otherwise(F.raise_error(F.lit(f"more than {MOST_CENTROIDS} centroids")).cast(packed.schema["_all"].dataType)).alias("_all"))
     x = F.col(embedding).cast("array<double>")
     rows = vectors.join(F.broadcast(packed)).withColumn("_x", x)  # one row that holds the whole index
     scored = F.transform("_all", lambda c: F.struct(F.round(cosine(F.col("_x"), c["c"]), 12).alias("s"), (-c["l"]).alias("n")))
