@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelight.operators.movement import find_directions, left_turns, movement, remove_stationary
 from cuelight.operators.ordering import global_position
 
 
@@ -42,20 +43,18 @@ def proxy_split(df: DataFrame, confidence: float) -> tuple[DataFrame, DataFrame]
 
 
 def two_people(df: DataFrame, count: int = 2, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Detections of frames with exactly ``count`` detections."""
-    exact = df.groupBy(*keys).agg(F.count("id").alias("_n")).filter(F.col("_n") == count).select(*keys)
-    return df.join(exact, list(keys), "left_semi")
+    """Detections of frames with exactly ``count`` detections: one window over the frame's few rows."""
+    n = F.count("id").over(Window.partitionBy(*keys))
+    return df.withColumn("_n", n).filter(F.col("_n") == count).drop("_n")
 
 
 def faces_and(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("id",)) -> DataFrame:
     """Detections of frames that show all of ``labels``."""
-    name = F.ltrim("label")
-    has = [F.max(F.when(name == want, 1).otherwise(0)) for want in labels]
-    every = has[0]
-    for h in has[1:]:
-        every = F.least(every, h)
-    both = df.filter(name.isin(*labels)).groupBy(*keys).agg(every.alias("_all")).filter("_all = 1").select(*keys)
-    return df.join(both, list(keys), "left_semi")
+    frame = Window.partitionBy(*keys)
+    every = F.lit(True)
+    for want in labels:
+        every = every & (F.max(F.when(F.ltrim("label") == want, 1).otherwise(0)).over(frame) == 1)
+    return df.withColumn("_all", every).filter("_all").drop("_all")
 
 
 def window_expand(df: DataFrame, inside: Column, around: int = 30) -> DataFrame:
@@ -77,5 +76,5 @@ def drop_frames(df: DataFrame, fraction: float, order: str, random: bool = False
 
 
 #: Filters by the names that queries use; the marked ones depend on more than one frame and may not be reordered.
-FILTERS: dict[str, Callable[..., DataFrame]] = {"quality_filter": quality_filter, "object_filter": object_filter, "objects_or": objects_or, "age_old_filter": age_old_filter, "similarity_filter": similarity_filter, "transcript_search": transcript_search, "two_people": two_people, "faces_and": faces_and, "window_expand": window_expand, "drop_frames": drop_frames}
+FILTERS: dict[str, Callable[..., DataFrame]] = {"quality_filter": quality_filter, "object_filter": object_filter, "objects_or": objects_or, "age_old_filter": age_old_filter, "similarity_filter": similarity_filter, "transcript_search": transcript_search, "two_people": two_people, "faces_and": faces_and, "window_expand": window_expand, "drop_frames": drop_frames, "movement": movement, "remove_stationary": remove_stationary, "find_directions": find_directions, "left_turns": left_turns}
 CROSS_FRAME = frozenset({"window_expand", "drop_frames", "movement"})

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelight.operators.ordering import running_total
+
 
 def chunk_offsets(chunks: DataFrame, by_video: bool = False) -> DataFrame:
     """start_chunk and end_chunk (global frame numbers) of chunks (chunk, chunk_frames[, uri]), and the last frame number."""
     keys = ["uri"] if by_video else []
-    w = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = chunks.withColumn("_sum", F.sum("chunk_frames").over(w))
+    out = running_total(chunks, F.col("chunk_frames").cast("long"), F.floor(F.col("chunk") / 4096), ["chunk"], "_sum", keys)
     out = out.withColumns({"start_chunk": F.col("_sum") - F.col("chunk_frames"), "end_chunk": F.col("_sum") - 1}).drop("_sum")
     last = out.groupBy(*keys).agg(F.max("end_chunk").alias("total_frames"))
     return out.join(last, keys) if keys else out.join(F.broadcast(last))  # one row

@@ -32,8 +32,45 @@ def f1_of(counts: DataFrame) -> DataFrame:
 
 
 def dataset_key(df: DataFrame, column: str, bits: int = 224) -> DataFrame:
-    """Digest of the distinct values, sorted and joined by '&': values are hashed first, so that the list stays short."""
-    return df.select(column).distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(column, bits))), "&"), bits).alias("key"))
+    """Digest of the distinct values in two levels, so that no task holds them all.
+
+    Values are hashed and put into groups by the first four hexadecimal digits; a group's digest is that of its sorted
+    hashes joined by '&', and the key is the digest of the groups' digests in order, joined likewise.
+    """
+    hashes = df.select(F.sha2(F.col(column).cast("string"), bits).alias("_h")).filter("_h is not null").distinct()
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "&"), bits)
+    groups = hashes.groupBy(F.substring("_h", 1, 4).alias("_g")).agg(joined("_h").alias("_d"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_g", "_d"))), lambda x: x["_d"])
+    return groups.agg(F.sha2(F.array_join(ordered, "&"), bits).alias("key"))  # at most 65,536 digests
+
+
+def names_key(df: DataFrame, column: str, bits: int = 224) -> DataFrame:
+    """Digest of the sorted distinct values themselves, joined by '&': the key of a list of files.
+
+    Values are sorted in range partitions and digested in one pass that holds a batch at a time.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def digest(parts):
+        h, first = hashlib.new(f"sha{bits}"), True
+        for b in parts:
+            for v in b.column(0).to_pylist():
+                h.update(("" if first else "&").encode() + v.encode())
+                first = False
+        yield pa.RecordBatch.from_pydict({"key": [h.hexdigest()]})
+
+    values = df.select(F.col(column).cast("string").alias("_v")).filter("_v is not null").distinct()
+    found = values.orderBy("_v").coalesce(1).mapInArrow(digest, "key string")
+    return found.agg(F.coalesce(F.first("key"), F.lit(hashlib.new(f"sha{bits}").hexdigest())).alias("key"))
+
+
+def params_key(params: Mapping[str, object], bits: int = 224) -> str:
+    """Digest of ``name:value`` in the order of the names, joined by '_'."""
+    import hashlib
+
+    return hashlib.new(f"sha{bits}", "_".join(f"{k}:{params[k]}" for k in sorted(params)).encode()).hexdigest()
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ predictions, which is how results of outside networks enter the engine; networks
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import images
+from cuelight.operators.ordering import global_position, running_total
 from cuelight.schema import DETECTION
 
+#: Frame numbers that a task puts in order together.
+SEGMENT = 65_536
 DETECTION_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DETECTION.fields)
 
 
@@ -124,31 +127,79 @@ def motion(frames: DataFrame, segment: int = 10_000) -> DataFrame:
 
 
 def track(detections: DataFrame, overlap: float = 0.3, patience: int = 3) -> DataFrame:
-    """Detections with a track number per video: each box continues the live track of its label it overlaps most."""
+    """Detections with a track number per video: each box continues the live track of its label it overlaps most.
 
-    @_in_order
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
+    A video is cut wherever more than ``patience`` frame numbers pass without a detection, as no track lives on there;
+    the pieces are followed side by side, and their numbers shifted by the tracks of the pieces before. A piece is read
+    in batches in the order of its frames, so that memory holds live tracks, not a whole video. Boxes with a null
+    corner overlap nothing.
+    """
+    plain = detections.drop("track")
+    names = plain.columns
+    order = [c for c in ("id", "det_id") if c in names] + [c for c in ("xmin", "ymin", "xmax", "ymax", "label") if c in names]
+    shown = plain.select("uri", "id").distinct()
+    gap = F.col("id") - F.lag("id").over(Window.partitionBy("uri", F.floor(F.col("id") / SEGMENT)).orderBy("id"))
+    # The first frame of a segment of ids looks at the last one of the segment before it.
+    ends = shown.groupBy("uri", F.floor(F.col("id") / SEGMENT).alias("_seg")).agg(F.max("id").alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("uri").orderBy("_seg"))).select("uri", "_seg", "_before")
+    cuts = shown.withColumns({"_gap": gap, "_seg": F.floor(F.col("id") / SEGMENT)}).join(before, ["uri", "_seg"])
+    opens = F.coalesce(F.coalesce("_gap", F.col("id") - F.col("_before")) > patience, F.lit(True)).cast("long")
+    pieces = running_total(cuts.withColumn("_opens", opens), F.col("_opens"), F.col("_seg"), ["id"], "_piece", ["uri"]).select("uri", "id", "_piece")
+    rows = plain.join(pieces, ["uri", "id"]).select(*names, "_piece").repartition("uri", "_piece").sortWithinPartitions("uri", "_piece", *order)
+
+    def follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, frame, made, seen = None, None, 0, []
         live: dict[int, tuple[int, str, np.ndarray]] = {}
-        numbers, made = np.full(len(group), -1, np.int64), 0
-        boxes = group[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
-        for frame, rows in group.groupby("id", sort=True).indices.items():
+
+        def numbered() -> list[int]:
+            """Track numbers of the open frame's boxes."""
+            nonlocal live, made
             live = {t: v for t, v in live.items() if frame - v[0] <= patience}
-            pairs = sorted(((_overlap(boxes[r], box), t, r) for r in rows for t, (_, label, box) in live.items() if label == group.at[r, "label"]), key=lambda p: (-p[0], p[1], p[2]))
+            pairs = sorted(((_overlap(box, old), t, r) for r, (label, box) in enumerate(seen) for t, (_, kind, old) in live.items() if kind == label), key=lambda p: (-p[0], p[1], p[2]))
+            out: list[int] = [0] * len(seen)
             taken: set[int] = set()
             for iou, t, r in pairs:
-                if iou >= overlap and numbers[r] < 0 and t not in taken:
-                    numbers[r] = t
+                if iou >= overlap and not out[r] and t not in taken:
+                    out[r] = t
                     taken.add(t)
-            for r in rows:
-                if numbers[r] < 0:
+            for r, (label, box) in enumerate(seen):
+                if not out[r]:
                     made += 1
-                    numbers[r] = made
-                live[int(numbers[r])] = (frame, group.at[r, "label"], boxes[r])
-        return group.assign(track=numbers)
-
-    plain = detections.drop("track")
-    schema = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes) + ", track long"
-    return plain.groupBy("uri").applyInPandas(follow, schema)
+                    out[r] = made
+                live[out[r]] = (frame, label, box)
+            return out
+
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            boxes = part[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
+            labels, where = part["label"].tolist(), list(zip(part["uri"], part["_piece"], part["id"], strict=True))
+            numbers: list[int] = []
+            first = 0
+            for i, (uri, own, at) in enumerate(where):
+                if (uri, own) != piece or at != frame:
+                    if seen:
+                        done = numbered()
+                        carried = sum(map(len, held))
+                        if held:  # the frame began in an earlier batch
+                            yield pd.concat(held, ignore_index=True).assign(track=done[:carried])
+                            held = []
+                        numbers += done[carried:]
+                        first = i
+                    if (uri, own) != piece:
+                        live, made = {}, 0
+                    piece, frame, seen = (uri, own), at, []
+                seen.append((labels[i], boxes[i]))
+            if first:
+                yield part.iloc[:first].assign(track=numbers)
+            held.append(part.iloc[first:])
+        if seen:
+            yield pd.concat(held, ignore_index=True).assign(track=numbered())
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", track long"
+    found = rows.mapInPandas(follow, schema)
+    sizes = found.groupBy("uri", "_piece").agg(F.max("track").alias("_made"))
+    shifts = running_total(sizes, F.col("_made"), F.floor(F.col("_piece") / 4096), ["_piece"], "_upto", ["uri"]).select("uri", "_piece", (F.col("_upto") - F.col("_made")).alias("_shift"))
+    return found.join(shifts, ["uri", "_piece"]).withColumn("track", F.col("track") + F.col("_shift")).select(*names, "track")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -162,9 +213,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
 def action_clips(frames: DataFrame, label_of: Callable[[DataFrame], DataFrame], clip: int = 16) -> DataFrame:
     """One label for each run of ``clip`` frames of a video, copied to all of its frames.
 
-    ``label_of`` maps (uri, clip, first_id, frames) rows to the same rows with label and score.
+    ``label_of`` maps (uri, clip, first_id, frames) rows to the same rows with label and score. Frames are numbered
+    within buckets of their ids, so that no task orders a whole video.
     """
-    numbered = frames.withColumn("clip", F.floor((F.row_number().over(Window.partitionBy("uri").orderBy("id")) - 1) / clip))
+    placed = global_position(frames, F.floor(F.col("id") / 65536), ["id"], "_pos", ["uri"])
+    numbered = placed.withColumn("clip", F.floor((F.col("_pos") - 1) / clip)).drop("_pos")
     clips = label_of(numbered.groupBy("uri", "clip").agg(F.min("id").alias("first_id"), F.count("*").alias("frames")))
     return numbered.join(clips.select("uri", "clip", "label", "score"), ["uri", "clip"])
 
@@ -180,7 +233,18 @@ class TableModel:
         return self.detections.join(frames.select(*self.keys), list(self.keys), "left_semi")
 
 
-_FACTORIES: dict[str, Callable[[], Callable[[DataFrame], DataFrame]]] = {"transcriptsearch": lambda: lambda frames: frames, "brightness": lambda: brightness, "motion": lambda: motion}
+def _built_in() -> dict[str, Callable[[], Callable[[DataFrame], DataFrame]]]:
+    return {
+        "transcriptsearch": lambda: lambda frames: frames,
+        "brightness": lambda: brightness,
+        "motion": lambda: motion,
+        "objecttrack": lambda: track,
+        "img2vec": lambda: embed,
+        "transfer": lambda: transfer,
+    }
+
+
+_FACTORIES: dict[str, Callable[[], Callable[[DataFrame], DataFrame]]] = _built_in()
 _MADE: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -190,9 +254,26 @@ def register(name: str, factory: Callable[[], Callable[[DataFrame], DataFrame]])
     _MADE.pop(name, None)
 
 
+def register_stand_ins() -> list[str]:
+    """Bind every network's name that nothing is bound to with its NumPy stand-in; returns those names."""
+    from cuelight.operators.networks import stand_ins
+
+    bound = [n for n in stand_ins() if n not in _FACTORIES]
+    for n in bound:
+        register(n, stand_ins()[n])
+    return bound
+
+
 def model(name: str) -> Callable[[DataFrame], DataFrame]:
     if name not in _FACTORIES:
         raise KeyError(f"no operator {name!r}; register it first")
     if name not in _MADE:
         _MADE[name] = _FACTORIES[name]()
     return _MADE[name]
+
+
+def engine_models(short_names: Iterable[str]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The catalogue's operators by the short names that queries use."""
+    from cuelight.plans.catalog import OPERATORS
+
+    return {n: model(OPERATORS[n].name) for n in short_names}

@@ -13,10 +13,13 @@ def centroids(df: DataFrame) -> DataFrame:
 
 
 def movement(df: DataFrame, back: int = 10, per_track: bool = True, order: tuple[str, ...] = ("id", "det_id")) -> DataFrame:
-    """dx, dy against the detection ``back`` rows before (0 where there is none), by track or along (track, order)."""
+    """dx, dy against the detection ``back`` rows before (0 where there is none), by track or along (track, order).
+
+    Tracks of different videos (column uri, if there is one) are different tracks.
+    """
     df = centroids(df)
     if per_track:
-        w = Window.partitionBy("track").orderBy(*order)
+        w = Window.partitionBy(*[c for c in ("uri", "track") if c in df.columns]).orderBy(*order)
         earlier = {c: F.lag(c, back, 0.0).over(w) for c in ("xcent", "ycent")}
         return df.withColumns({"dx": F.col("xcent") - earlier["xcent"], "dy": F.col("ycent") - earlier["ycent"]})
     placed = with_earlier(global_position(df, F.col("track"), list(order), "_pos"), "_pos", back, {"_x": "xcent", "_y": "ycent"})

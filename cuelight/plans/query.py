@@ -27,6 +27,11 @@ class Filter:
     def cross_frame(self) -> bool:
         return self.name in CROSS_FRAME
 
+    @property
+    def identity(self) -> tuple:
+        """What tells it from filters with other rows: name, arguments and the function itself."""
+        return self.name, self.args, self.fn
+
     def __str__(self) -> str:
         return f"{self.name}({','.join(map(str, self.args))})" if self.args else self.name
 
@@ -46,8 +51,11 @@ class Slot:
 
 @dataclass(frozen=True)
 class Query:
+    """``answer`` is the slot whose detections are the result, the last one unless it is given."""
+
     name: str
     slots: tuple[Slot, ...]
+    answer: int | None = None
 
     @staticmethod
     def from_json(text: str | Sequence[Mapping], name: str = "query") -> Query:

@@ -38,3 +38,8 @@ def run_record(spark: SparkSession, timings: Mapping[str, float], options: Mappi
     row = {**{k: str(v) for k, v in options.items()}, **{f"{k}_s": float(v) for k, v in timings.items()}}
     schema = ", ".join(f"`{k}` {'double' if isinstance(v, float) else 'string'}" for k, v in row.items())
     return spark.createDataFrame([tuple(row.values())], schema)
+
+
+def append_run(spark: SparkSession, timings: Mapping[str, float], options: Mapping[str, object], folder: str) -> None:
+    """Add the run's row to a folder of CSV files with a header each."""
+    run_record(spark, timings, options).coalesce(1).write.mode("append").option("header", True).csv(folder)

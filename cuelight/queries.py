@@ -15,6 +15,7 @@ from cuelight.operators import filters as flt
 from cuelight.operators import ingest, metrics, models, movement, predictions, tasti
 from cuelight.operators.ordering import global_position
 from cuelight.plans import hints as h
+from cuelight.plans.catalog import TRANSFERS
 from cuelight.plans.planner import enumerate_plans, plan_count
 from cuelight.plans.query import Filter, Query, Slot
 from cuelight.sources import frames as frame_sources
@@ -315,9 +316,16 @@ def transfer_regression(spark, sf_dir):
     return metrics.linear_fit(df, "f", "s").select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@_query("dataset_hash", "select sha256(string_agg(h, '&' order by h)) as key from (select distinct sha256(url) as h from pages where url is not null)")
+@_query("dataset_hash", """with h as (select distinct sha256(url) as h from pages where url is not null),
+g as (select substr(h, 1, 4) as g, sha256(string_agg(h, '&' order by h)) as d from h group by 1)
+select sha256(string_agg(d, '&' order by g)) as key from g""")
 def dataset_hash(spark, sf_dir):
-    return metrics.dataset_key(table(spark, sf_dir, "pages").filter("url is not null"), "url", 256)
+    return metrics.dataset_key(table(spark, sf_dir, "pages"), "url", 256)
+
+
+@_query("dataset_names_hash", "select sha256(string_agg(u, '&' order by u)) as key from (select distinct url as u from pages where url is not null)")
+def dataset_names_hash(spark, sf_dir):
+    return metrics.names_key(table(spark, sf_dir, "pages"), "url", 256)
 
 
 # --- transcripts and similarity
@@ -367,6 +375,14 @@ def tasti_filter(spark, sf_dir):
     return _assigned(spark, sf_dir).filter("score > 0.6 and centroid_label in (1, 2, 3)").select("vec_id", "centroid_label")
 
 
+@_query("tasti_representatives", _CENTROIDS + """, own as (
+  select e.label, e.vec_id, list_cosine_similarity(e.embedding::double[], c.c) as s from embeddings e join cent c on e.label = c.label)
+select label, vec_id as representative from own qualify row_number() over (partition by label order by round(s, 9), vec_id) = 1""")
+def tasti_representatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return tasti.representatives(vectors, tasti.mean_centroids(vectors)).select("label", "representative")
+
+
 @_query("img_similarity_rank", "select e.vec_id, round(1 - list_cosine_similarity(e.embedding::double[], t.embedding::double[]), 4) as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) t where 1 - list_cosine_similarity(e.embedding::double[], t.embedding::double[]) < 0.9")
 def img_similarity_rank(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -417,14 +433,30 @@ def q_dunk(spark, sf_dir):
     return _answer(spark, sf_dir, query).select("det_id", "id", "label", "score")
 
 
+#: Models of the dock that equal each other, and the one whose classes hold what the detector may find.
+DOCK_HINTS = [h.equals("svm", "bi"), h.superset("qcl", "ot")]
+
+
+def dock(spark, sf_dir):
+    """(engine, frames, query): cars and people that move at night, by a tracker that reads a detector's boxes."""
+    from cuelight.plans.engine import Dependent, Engine
+
+    det = detections(spark, sf_dir)
+    light = det.groupBy("id").agg(F.avg("k").alias("v")).select("id", F.when(F.col("v") < 45, "night").otherwise("day").alias("label"), F.lit(1.0).alias("score"))
+    tables = {"odx": objects(det), "svm": light, "bi": light, "qcl": objects(det)}
+    made = {n: models.TableModel(t) for n, t in tables.items()} | {"ot": Dependent("odx", lambda boxes: boxes)}
+    moving = (Filter("quality_filter", (0.1,)), Filter("objects_or", (("car", "person"),)), Filter("movement", (10, False)), Filter("remove_stationary"), Filter("find_directions"))
+    query = Query("amsterdamdock", (Slot("ot", moving, ("odx",)), Slot("svm", (Filter("object_filter", ("night",)),))), answer=0)
+    return Engine(made), det.select("id").distinct(), query
+
+
 @_query("q_amsterdamdock", DET.replace("from moved\n  window w as (order by", "from moved where score > 0.1 and label in ('car', 'person')\n  window w as (order by") + """select det_id, id, label, case when dx > 20 then 'right' else 'left' end as xdir, case when dy > 20 then 'up' else 'down' end as ydir
   from global_steps where abs(dx) > 1 and abs(dy) > 1 and id in (select id from det group by id having avg(k) < 45)""")
 def q_amsterdamdock(spark, sf_dir):
-    det = detections(spark, sf_dir)
-    seen = flt.objects_or(flt.quality_filter(objects(det), 0.1), ["car", "person"])
-    moving = movement.find_directions(movement.remove_stationary(movement.movement(seen, per_track=False)))
-    night = det.groupBy("id").agg(F.avg("k").alias("v")).filter("v < 45").select("id")
-    return moving.join(night, "id", "left_semi").select("det_id", "id", "label", "xdir", "ydir")
+    engine, frames, query = dock(spark, sf_dir)
+    plans = engine.plans(query, DOCK_HINTS, {"qcl": (Filter("objects_or", (("car", "dog"),)),)})
+    plain = next(p for p in plans if [s.op for s in p.steps] == ["odx", "ot", "svm"])
+    return engine.run(plain, query, frames).select("det_id", "id", "label", "xdir", "ydir")
 
 
 @_query("q_deepface", DET + """select det_id, id, label, score from det where label in ('view', 'click', 'error')
@@ -451,7 +483,19 @@ def proxy_plan(spark, sf_dir):
     return engine.run(plan, query, frames).select("det_id", "id", "label", "score")
 
 
-@_query("plan_enumeration")
+_PLAN_SQL = """with f(slot, text) as (values (0, '[faces_and((''error'', ''signup''))]'), (1, '[people]'), (2, '[object_filter(angry)]')),
+alt(slot, n, op, cpu, gpu, sel) as (values
+  (0, 0, 'fd', 4.0562::double, 2.7556::double, 0.5::double), (1, 0, 'odx', 10.2665, 1.0153, 0.2), (1, 1, 'od', 1.4944, 0.2632, 0.25),
+  (1, 2, 'odn', 0.7115, 0.2065, 0.3), (2, 0, 'ed', 10.6612, 7.7553, 0.1), (2, 1, 'edc', 4.2685, 2.0679, 0.1)),
+a as (select alt.*, op || text as step from alt join f using (slot)),
+p as (
+  select row_number() over (order by x.slot, y.slot, z.slot, x.n, y.n, z.n) - 1 as plan, x.step || '>' || y.step || '>' || z.step as steps,
+         x.cpu as c1, y.cpu as c2, z.cpu as c3, x.gpu as g1, y.gpu as g2, z.gpu as g3, x.sel as s1, y.sel as s2
+  from a x, a y, a z where x.slot <> y.slot and x.slot <> z.slot and y.slot <> z.slot)
+"""
+
+
+@_query("plan_enumeration", _PLAN_SQL + "select plan::int as plan, steps from p")
 def plan_enumeration(spark, sf_dir):
     given = [h.equals("odx", "od"), h.equals("od", "odn"), h.equals("ed", "edc")]
     plans = enumerate_plans(angrybernie(), given)
@@ -462,19 +506,24 @@ def plan_enumeration(spark, sf_dir):
 # --- frames
 
 
+def frames_of_table(spark, sf_dir, videos: int = 1) -> DataFrame:
+    """As many synthetic frames as the detections have."""
+    return frame_sources.synthetic_frames(spark, detections(spark, sf_dir).select("id").distinct().count(), videos=videos)
+
+
 @_query("brightness")
 def brightness(spark, sf_dir):
-    return predictions.explode_structs(models.brightness(frame_sources.synthetic_frames(spark, 64)), "brightness", ["uri", "id"]).select("uri", "id", "label", "cls", "score")
+    return predictions.explode_structs(models.brightness(frames_of_table(spark, sf_dir)), "brightness", ["uri", "id"]).select("uri", "id", "label", "cls", "score")
 
 
 @_query("motion")
 def motion(spark, sf_dir):
-    return models.motion(frame_sources.synthetic_frames(spark, 64, videos=2), segment=16)
+    return models.motion(frames_of_table(spark, sf_dir, 2), segment=16)
 
 
 @_query("frame_similarity")
 def frame_similarity(spark, sf_dir):
-    frames = frame_sources.synthetic_frames(spark, 64)
+    frames = frames_of_table(spark, sf_dir)
     target = frames.filter("id = 3").first()
     return models.similarity(frames, bytes(target.framebytes), target.width, target.height).select("uri", "id", "similarity")
 
@@ -484,16 +533,25 @@ def frame_classes(spark, sf_dir):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    frames = models.classify(frame_sources.synthetic_frames(spark, 64), rng.normal(size=(192, 3)), np.zeros(3), ["car", "person", "dog"])
+    frames = models.classify(frames_of_table(spark, sf_dir), rng.normal(size=(192, 3)), np.zeros(3), ["car", "person", "dog"])
     return predictions.explode_structs(frames, "classes", ["uri", "id"]).select("uri", "id", "label", "cls", F.round("score", 9).alias("score"))
 
 
 @_query("frame_embeddings")
 def frame_embeddings(spark, sf_dir):
-    return models.embed(frame_sources.synthetic_frames(spark, 64)).select("uri", "id", "img2vec")
-
-
-@_query("plan_choice")
+    return models.embed(frames_of_table(spark, sf_dir)).select("uri", "id", "img2vec")
+
+
+@_query("plan_choice", _PLAN_SQL + """, t(x, y) as (values """ + ", ".join(f"({n}::double, {v}::double)" for n, v in TRANSFERS.items()) + """),
+line as (select regr_slope(y, x) as m, regr_intercept(y, x) as b from t),
+n as (select *, 3600.0::double as n1, 3600.0 * s1 as n2, 3600.0 * s1 * s2 as n3 from p),
+costs as (
+  select plan, steps, 'cpu' as platform, 0.00018::double as dollars, (c1 * n1 + c2 * n2 + c3 * n3) / 16 as cost from n
+  union all
+  select plan, steps, platform, dollars, (g1 * n1 + g2 * n2 + g3 * n3) / 16 + greatest(0, m * n1 + b) + greatest(0, m * n2 + b) + greatest(0, m * n3 + b)
+  from n, line, (values ('t4', 0.00025::double), ('v100', 0.00067::double)) v(platform, dollars))
+select platform, steps, round(cost, 6) as cost, round(cost * dollars, 9) as price from costs
+qualify row_number() over (partition by platform order by round(cost * dollars, 12), plan) = 1""")
 def plan_choice(spark, sf_dir):
     """The cheapest plan for the first built-in query by published latencies, on each platform."""
     from cuelight.plans.catalog import default_stats

@@ -10,13 +10,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelight.schema import FRAME
+from cuelight.schema import FRAME, VIDEO
 
 
 def video_catalog(spark: SparkSession, path: str, glob: str = "*.mp4") -> DataFrame:
-    """(uri, id) of all files below ``path`` on any file system Spark reads; ids follow the sorted paths."""
+    """(uri, id) of all files below ``path`` on any file system Spark reads; ids follow folders, then names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(F.col("path").alias("uri")).withColumn("id", F.row_number().over(Window.orderBy("uri")) - 1)
+    return numbered(files.select(F.col("path").alias("uri")))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``files`` (uri) with ids from 0, folder by folder and within a folder by name.
+
+    A file's rank in its folder and the files of the folders before give its number, so that only one small row for
+    each folder is put in a global order.
+    """
+    folder = F.regexp_extract("uri", r"^(.*/)[^/]*$", 1)
+    rows = files.withColumn("_folder", folder)
+    sizes = rows.groupBy("_folder").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_folder", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_folder").orderBy("uri"))
+    return rows.withColumn("_at", within).join(sizes, "_folder").select("uri", (F.col("_before") + F.col("_at") - 1).cast("int").alias("id"))
+
+
+def single_video(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue of one file."""
+    return spark.createDataFrame([(path, 0)], VIDEO)
 
 
 def segment_command(source: str, seconds: int, pattern: str) -> list[str]:
