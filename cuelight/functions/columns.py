@@ -1,7 +1,11 @@
-"""Column functions of boxes, class scores, names and subtitle times; all stay in the JVM."""
+"""Column functions of boxes, class scores, names and subtitle times; all but the conversion of vectors stay in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +48,25 @@ def extension(path: Column) -> Column:
 def chunk_number(path: Column) -> Column:
     """The number that a chunk's file name ends in."""
     return F.regexp_extract(path, r"_(\d+)\.[^./]*$", 1).cast("int")
+
+
+def vector_bytes(vector: Column) -> Column:
+    """An array of numbers as the bytes of 32-bit floats, the least significant byte first."""
+
+    @F.pandas_udf("binary")
+    def pack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in parts:
+            yield pd.Series([None if x is None else np.asarray(x, "<f4").tobytes() for x in v], dtype=object)
+
+    return pack(vector)
+
+
+def bytes_vector(raw: Column) -> Column:
+    """The inverse of :func:`vector_bytes`."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in parts:
+            yield pd.Series([None if x is None else np.frombuffer(x, "<f4") for x in v], dtype=object)
+
+    return unpack(raw)

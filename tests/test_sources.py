@@ -9,13 +9,13 @@ from cuelight.sources import frames as fr
 from cuelight.sources.transcripts import parse_srt, read_srt
 from cuelight.streaming.detections import read_stream, windowed_counts
 
-SRT = "1\n00:00:02,468 --> 00:00:04,203\nHELLO AND\nWELCOME\n\n2\r\n00:01:01,000 --> 00:01:02,000\r\nBye \n"
+SRT = "1\n00:00:05,250 --> 00:00:07,900\nThe FERRY leaves\nat noon\n\n2\r\n00:02:03,000 --> 00:02:04,000\r\nMind the gap \n"
 
 
 def test_subtitles(spark, tmp_path):
     df = spark.createDataFrame([("a.srt", SRT), ("b.srt", "")], "uri string, text string")
     got = sorted((r.frame_id, r.segment) for r in parse_srt(df, 1).collect())
-    assert got == [(2, "hello and welcome"), (3, "hello and welcome"), (4, "hello and welcome"), (61, "bye"), (62, "bye")]
+    assert got == [(5, "the ferry leaves at noon"), (6, "the ferry leaves at noon"), (7, "the ferry leaves at noon"), (123, "mind the gap"), (124, "mind the gap")]
     assert len(parse_srt(df, 1, compat=True).collect()) == 3
     (tmp_path / "x.srt").write_text(SRT)
     assert read_srt(spark, str(tmp_path), 1).count() == 5
