@@ -24,9 +24,11 @@ def _brute(rows, k, every):
 
 
 def test_against_full_product(spark, monkeypatch):
-    monkeypatch.setattr(vector_index, "ANNULUS", 16)
+    monkeypatch.setattr(vector_index, "LARGEST", 16)
+    monkeypatch.setattr(vector_index, "SMALLEST", 16)
     monkeypatch.setattr(vector_index, "QUERY_BLOCK", 8)
-    monkeypatch.setattr(vector_index, "FAN", 3)
+    monkeypatch.setattr(vector_index, "CHUNK_BYTES", 9000)
+    monkeypatch.setattr(vector_index, "HITS", 20)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
     rows = [(int(i), (centres[i % 6] + 0.1 * rng.normal(size=8)).tolist()) for i in range(300)]
@@ -41,3 +43,41 @@ def test_few_rows(spark):
     assert [tuple(r) for r in vector_index.top_k(df, k=5, every=5).collect()] == [(0, 1, 1, -131072)]
     assert vector_index.top_k(df.limit(0), k=5, every=5).count() == 0
     assert vector_index.top_k(df.limit(1), k=5, every=5).count() == 0
+
+
+def test_clustered_rows_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, ((1 + i % 3 / 10) * (centres[i % 40] + 0.02 * rng.normal(size=32))).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vector_index.top_k(df, k=5, every=50).collect()))
+    assert got == _brute_fast(rows, 5, 50)
+    work = vector_index.top_k(df, k=5, every=50, scored=True).collect()
+    assert len(work) == 80 and all(r.rows == 4000 for r in work)
+    share = sum(r.scored for r in work) / sum(r.rows for r in work)
+    assert share < 0.35
+
+
+def _brute_fast(rows, k, every):
+    ids, m = np.array([i for i, _ in rows]), np.floor(256 * np.array([v for _, v in rows]))
+    out = []
+    for n, i in enumerate(ids):
+        if i % every == 0:
+            s = m @ m[n]
+            order = [j for j in np.lexsort((ids, -s)) if j != n][:k]
+            out += [(int(i), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)]
+    return sorted(out)
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(-2, 9)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vector_index.top_k(df, k=4, every=7).collect())) == [(a, b, c, max(-(2**63), min(2**63 - 1, s))) for a, b, c, s in _brute(rows, 4, 7)]
+    huge = [*rows, (100, [1e300, 0.0, 0.0]), (101, [1e7, 2.0, 0.0])]
+    got = vector_index.top_k(spark.createDataFrame(huge, df.schema), k=3, every=10).collect()
+    assert len(got) == 3 * 7
+    ends = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    positive = [i for i, v in rows if i % 10 == 0 and math.floor(256 * v[0]) > 0]
+    assert positive and all(ends[i, 1] == (100, 2**63 - 1) for i in positive)
