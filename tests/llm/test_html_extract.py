@@ -1,5 +1,7 @@
 """Extraction from written pages, from broken ones and from a site with a template."""
 
+from collections import Counter
+
 from cuelight.llm import html_extract as h
 from cuelight.llm import queries
 
@@ -81,6 +83,51 @@ def test_template_inside_article(spark):
     assert _texts(spark, rows) == want
 
 
+def _articles(folder):
+    import html as entities
+    import re
+
+    import pyarrow.parquet as pq
+
+    out = {}
+    for p in pq.read_table(f"{folder}/pages.parquet").to_pylist():
+        body = p["html"].split("<article>", 1)[1].split("</article>")[0]
+        out[p["page_id"]] = " ".join(entities.unescape(re.sub(r"<[^>]*>?", " ", body)).split())
+    return out
+
+
+def test_recurrence_alone(spark, monkeypatch):
+    """Without any list of names, slots that recur on a host go and the article stays."""
+    folder = "/root/testdata/sf0.01"
+    pages, want = spark.read.parquet(f"{folder}/pages.parquet"), _articles(folder)
+    left = {r.page_id: r.text for r in h.extract_text(pages, lists=False).collect()}
+    whole = {r.page_id: h.text_of(h.parse(r.html, False)[1], frozenset(), False) for r in pages.collect()}
+    on_host = Counter(r.url.split("/")[2].lower() for r in pages.collect())
+    often = [r.page_id for r in pages.collect() if on_host[r.url.split("/")[2].lower()] >= 2 * h.LEAST_PAGES]  # enough pages for evidence
+    assert len(often) > 100
+    changed, same = sum(left[k] != whole[k] for k in often), sum(left[k] == want[k] for k in often)
+    assert changed == len(often) and same > 0.95 * len(often)
+    assert all(want[k] in left[k] for k in want)
+    monkeypatch.setattr(h, "BROADCAST_TEMPLATES", -1)
+    assert {r.page_id: r.text for r in h.extract_text(pages, lists=False).collect()} == left
+
+
+def test_slots_beside_the_main_one(spark):
+    rows = []
+    for i in range(8):
+        menu = "".join(f"<li><a>w{i}{j}</a></li>" for j in range(i + 1))
+        rows.append((i, f"http://a.com/{i}", f"<body><div class='q1 top'><ul>{menu}</ul></div><div class=z{i}><div class=lead><p>Lead {i}</p></div><div class=story><p>Much longer story number {i}, told in many words.</p><div class=box>inside {i}</div></div></div><div class=tail>other {i}</div></body>"))
+    want = {i: f"Lead {i} Much longer story number {i}, told in many words. inside {i}" for i in range(8)}
+    assert _texts(spark, rows) == want
+    assert _texts(spark, rows[:2])[0].startswith("w00 Lead 0")  # two pages are no evidence
+
+
+def test_many_articles_and_end_tags():
+    page = "<article>" * 3000 + "x" + "</b>" * 20000 + "<p>y" * 3000
+    assert _text(page).split() == ["x"] + ["y"] * 3000
+    assert _text("<article>a</article>" * 20000).split() == ["a"] * 20000
+
+
 def test_whole_table(spark, sf_dir):
     import html as entities
     import re
