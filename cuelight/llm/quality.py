@@ -1,17 +1,23 @@
-"""Quality by co-training: a classifier of the text and one of the page's metadata teach each other.
-
-Both views start from the same labelled rows. In each round either view scores all unlabelled rows, labels those it is
-most sure of, as many of each class as the labelled rows suggest and in proportion to the unlabelled rows, and hands them
-to the other view, which learns from them at a lower weight. Afterwards each view is calibrated on labelled rows that neither has learned from, and a logistic model on the
-two calibrated log-odds, fitted on the same rows, gives the score; a view that tells little gets little weight.
-
-Bounds: at most about SAMPLE labelled rows are used, chosen by the hash of their id. The features of all rows are stored
-once; a round is two narrow passes over those of the unlabelled rows, one that counts levels of confidence and one that
-fetches the rows above the level wanted. Only features of labelled and pseudo-labelled rows reach the driver, the latter
-about EXCHANGED in POOL of the unlabelled rows for each view and round. Beyond POOL rows each weighs the less, so that
-pseudo-labels together keep their weight against the bounded labelled rows. Every text is scored whole. Defined results: null and empty texts are scored like any text
-without words, null metadata as a value of its own; without labels, or with labels of one class, every score is the
-same; rows without an id are scored. Other columns are carried by ``keep_good`` and never read.
+"""Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
+
+The content view reads words and signs: shares of signs, capitals, repeats and the like, and hashed words. The metadata
+view reads no word: recorded language, source and length, the length against what is usual for the source, and the page's
+form (lines, how they begin and end, bytes a character, how far it can be compressed). Both start from the same labelled
+rows. In each round either view scores all unlabelled rows; of those it is most sure of, relative to all others of their
+class, it labels the EXCHANGED share, as many of each class as the labelled rows suggest, and hands them to the other
+view, which learns from them beside the labelled rows. Every round picks anew. Afterwards each view is calibrated on
+labelled rows that neither has learned from, and a logistic model on the two calibrated log-odds, fitted on the same
+rows, gives the score.
+
+Bounds: a classifier is fitted on at most about ``sample`` labelled rows (SAMPLE), chosen by the hash of their id, and
+``taught`` pseudo-labelled rows (TAUGHT) for each view, chosen by hash among all rows that the round labels. Which rows
+those are is decided over all unlabelled rows: their features are stored once, and a round is two narrow passes over
+them, one that counts levels of confidence (a few thousand numbers for the driver) and one that fetches the sample. What
+reaches the driver thus does not grow with the corpus. Every text is scored whole.
+
+Defined results: null and empty texts are scored like any text without words, null metadata as a value of its own;
+without labels, or with labels of one class, every score is the same; of contradictory labels of an id the lower counts;
+rows without an id are scored. Other columns are carried by ``keep_good`` and never read.
 """
 
 from __future__ import annotations
@@ -30,16 +36,33 @@ from cuelight.llm.boosting import Isotonic, Logistic, Trees, logit
 from cuelight.llm.labelled import bounded, share
 from cuelight.llm.store import Scratch, in_worker
 
-#: Labelled rows used, rounds, rows exchanged in a round of each POOL unlabelled rows, weight of such rows and least confidence.
-SAMPLE, POOL, ROUNDS, EXCHANGED, WEIGHT, SURE = 8_000, 8_000, 4, 400, 0.3, 0.9
-#: Buckets that languages and sources are hashed into, and rows of metadata calibrating the views (one part in FOLDS).
-LANGS, SOURCES, FOLDS = 16, 64, 4
+#: Labelled rows used, rounds, share of the unlabelled rows that a view labels in a round, those of them that the other view is fitted on, and their weight together against the labelled rows'.
+SAMPLE, ROUNDS, EXCHANGED, TAUGHT, WEIGHT = 8_000, 4, 0.3, 4_000, 0.5
+#: Buckets that languages, sources and words are hashed into; one part in FOLDS of the labelled rows calibrates the views.
+LANGS, SOURCES, WORDS, FOLDS = 16, 64, 128, 4
+#: Words whose bucket a worker keeps; others are hashed again.
+KNOWN_WORDS = 200_000
 
-TEXT_FEATURES = ("log words", "log chars", "capitals", "digits", "signs", "other signs", "spaces", "mean word", "long words", "short words", "distinct words", "same as before", "seen 2 before", "top word", "capital words", "words with inner signs", "words ending in signs", "lone signs", "lines per word", "words per line", "distinct lines", "compression", "loudest half")
+CONTENT = ("capitals", "digits", "signs", "other signs", "spaces", "mean word", "long words", "short words", "distinct words", "same as before", "seen 2 before", "top word", "capital words", "words with inner signs", "words ending in signs", "lone signs", "loudest half")
+FORM = ("recorded length", "length for its source", "lines", "characters a line", "spread of lines", "lines that end a sentence", "lines that begin with a capital", "distinct lines", "longest line", "bytes a character", "compressed")
 
 
-def text_features(text: str | None) -> list[float]:
-    """Shares and sizes that describe how a text is written, over the whole of it."""
+class _Buckets(dict):
+    """Signed bucket of a word: its number + 1, negative for half of the words."""
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.lower().encode("utf-8", "replace"))
+        value = (h % WORDS + 1) * (1 if h >> 31 else -1)
+        if len(self) < KNOWN_WORDS:
+            self[word] = value
+        return value
+
+
+_BUCKETS = _Buckets()
+
+
+def features(text: str | None, size: float, usual: float) -> tuple[list[float], np.ndarray, list[float]]:
+    """Content features, hashed words, and form features, over the whole of a text; a negative ``size`` is a null length."""
     text = text or ""
     raw = text.encode("utf-8", "replace")
     b = np.frombuffer(raw, np.uint8)
@@ -57,159 +80,208 @@ def text_features(text: str | None) -> list[float]:
     second = float((w[2:] == w[:-2]).mean()) if len(w) > 2 else 0.0
     distinct = list(ids)
     of_word = np.array([(x.isupper() and len(x) > 1, not x.isalnum() and any(not c.isalnum() for c in x[1:-1]), not x[-1].isalnum() and x[-1] not in ".,;:\"')", not any(c.isalnum() for c in x)) for x in distinct], float).reshape(-1, 4)
-    rates = of_word[w].mean(0) if len(w) else np.zeros(4)
-    lines = text.split("\n")
-    marks = np.add.reduceat(sign & ~common | upper, np.arange(0, len(b), max(1, -(-len(b) // 8)))) / max(1, -(-len(b) // 8)) if len(b) else np.zeros(1)
+    times = np.bincount(w, minlength=len(distinct)) if len(w) else np.zeros(0, int)
+    rates = (of_word * times[:, None]).sum(0) / m if len(w) else np.zeros(4)
+    step = max(1, -(-len(b) // 8))
+    marks = np.add.reduceat(sign & ~common | upper, np.arange(0, len(b), step)) / step if len(b) else np.zeros(1)
     letters = max(1, int(upper.sum() + lower.sum()))
-    return [float(np.log1p(len(words))), float(np.log1p(len(raw))), float(upper.sum()) / letters, float(digit.sum()) / n, float(sign.sum()) / n, float((sign & ~common).sum()) / n, float(space.sum()) / n, float(sizes.mean()) if len(w) else 0.0, float((sizes > 14).mean()) if len(w) else 0.0, float((sizes < 3).mean()) if len(w) else 0.0, len(ids) / m, same, second, float(np.bincount(w).max()) / m if len(w) else 0.0, *map(float, rates), len(lines) / m, m / len(lines), len(set(lines)) / len(lines), len(zlib.compress(raw, 1)) / n if raw else 1.0, float(np.sort(marks)[len(marks) // 2 :].mean())]
-
-
-def meta_features(lang: int, source: int, size: float) -> list[float]:
-    """One column for each language and source bucket (negative: null), and the recorded length in steps."""
-    out = [0.0] * (LANGS + SOURCES + 6)
-    if lang >= 0:
-        out[lang] = 1.0
-    if source >= 0:
-        out[LANGS + source] = 1.0
-    tail = LANGS + SOURCES
-    if size >= 0:
-        step = np.log10(1 + size)
-        out[tail : tail + 6] = [1.0, step, max(0.0, step - 2), max(0.0, step - 2.5), max(0.0, step - 3), max(0.0, step - 3.5)]
-    return out
-
-
-def meta_matrix(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``meta_features`` of many rows."""
-    out = np.zeros((len(lang), LANGS + SOURCES + 6))
+    content = [float(upper.sum()) / letters, float(digit.sum()) / n, float(sign.sum()) / n, float((sign & ~common).sum()) / n, float(space.sum()) / n, float(sizes.mean()) if len(w) else 0.0, float((sizes > 14).mean()) if len(w) else 0.0, float((sizes < 3).mean()) if len(w) else 0.0, len(ids) / m, same, second, float(times.max()) / m if len(w) else 0.0, *map(float, rates), float(np.sort(marks)[len(marks) // 2 :].mean())]
+    bucket = np.fromiter(map(_BUCKETS.__getitem__, distinct), np.int64, len(distinct))
+    hashed = np.bincount(np.abs(bucket) - 1, np.sign(bucket) * np.sqrt(times), WORDS) / np.sqrt(m) if len(distinct) else np.zeros(WORDS)
+    lines = [x for x in text.split("\n") if x.strip()] or [""]
+    long = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = sum(x.rstrip()[-1:] in (".", "!", "?", '"') for x in lines) / len(lines)
+    begins = sum(x.lstrip()[:1].isupper() for x in lines) / len(lines)
+    recorded = float(np.log1p(size)) if size >= 0 else -1.0
+    form = [recorded, recorded - usual if size >= 0 else 0.0, float(np.log1p(len(lines))), float(np.log1p(long.mean())), float(long.std() / max(1.0, long.mean())), ends, begins, len(set(lines)) / len(lines), float(np.log1p(long.max())), len(raw) / max(1, len(text)), len(zlib.compress(raw, 1)) / n if raw else 1.0]
+    return content, hashed, form
+
+
+def one_hot(lang: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """One column for each language and source bucket (negative: null)."""
+    out = np.zeros((len(lang), LANGS + SOURCES))
     for first, bucket in ((0, lang), (LANGS, source)):
         at = np.flatnonzero(bucket >= 0)
         out[at, first + bucket[at].astype(int)] = 1.0
-    at = np.flatnonzero(size >= 0)
-    step = np.log10(1 + size[at])
-    out[at, LANGS + SOURCES :] = np.column_stack([np.ones(len(at)), step, *(np.maximum(0.0, step - k) for k in (2, 2.5, 3, 3.5))])
     return out
 
 
+@dataclass
+class View:
+    """Boosted trees over a view's dense features and the log-odds that a logistic model gives its coded ones.
+
+    The trees learn from log-odds of a logistic model that has not seen the row (two halves teach each other's).
+    """
+
+    trees: Trees | None = None
+    coded: Logistic | None = None
+
+    def fit(self, dense: np.ndarray, coded: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
+        half = np.arange(len(y)) % 2 == 0
+        told = np.zeros(len(y))
+        for a, b in ((half, ~half), (~half, half)):
+            if len(set(y[a].tolist())) == 2:
+                told[b] = logit(Logistic(ridge=20.0).fit(coded[a], y[a], weight[a]).probability(coded[b]), 1e-3)
+        self.coded = Logistic(ridge=20.0).fit(coded, y, weight)
+        self.trees = Trees(rounds=50).fit(np.column_stack([dense, told]), y, weight)
+        return self
+
+    def probability(self, dense: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        if not len(dense):
+            return np.zeros(0)
+        return self.trees.probability(np.column_stack([dense, logit(self.coded.probability(coded), 1e-3)]))
+
+
+@dataclass
+class Rows:
+    """Features of some rows: content, hashed words, form, and language and source as buckets."""
+
+    content: np.ndarray
+    words: np.ndarray
+    form: np.ndarray
+    lang: np.ndarray
+    source: np.ndarray
+
+    def of(self, view: str) -> tuple[np.ndarray, np.ndarray]:
+        return (self.content, self.words) if view == "text" else (self.form, one_hot(self.lang, self.source))
+
+    def at(self, where: np.ndarray) -> Rows:
+        return Rows(*(a[where] for a in (self.content, self.words, self.form, self.lang, self.source)))
+
+    def __len__(self) -> int:
+        return len(self.content)
+
+
 @dataclass
 class Model:
-    text: Trees | None
-    meta: Logistic | None
+    text: View | None
+    meta: View | None
     text_calibration: Isotonic | None
     meta_calibration: Isotonic | None
     combine: Logistic | None
     rate: float
-
-    def views(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probability of good quality by text, by metadata, and by both."""
-        if self.text is None or not len(x):
-            return (np.full(len(x), self.rate),) * 3
-        p = self.text_calibration.probability(self.text.probability(x))
-        q = self.meta_calibration.probability(self.meta.probability(z))
+    usual: dict[int, float]
+
+    def views(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probability of good quality by content, by metadata, and by both."""
+        if self.text is None or not len(rows):
+            return (np.full(len(rows), self.rate),) * 3
+        p = self.text_calibration.probability(self.text.probability(*rows.of("text")))
+        q = self.meta_calibration.probability(self.meta.probability(*rows.of("meta")))
         return p, q, self.combine.probability(np.column_stack([logit(p, 1e-3), logit(q, 1e-3)]))
 
 
 #: Steps of the log-odds that confidence is counted in.
-_STEPS = 256
+_STEPS = 64
+_OTHER = {"text": "meta", "meta": "text"}
 
 
-def _levels(p: np.ndarray, ids: np.ndarray, taught: np.ndarray) -> np.ndarray:
-    """Level of confidence of each row, positive for good; 0 where the view isn't sure or the other one has the row."""
-    level = np.rint(_STEPS * logit(p, 1e-9)).astype(np.int64)
-    return np.where(((p >= SURE) | (p <= 1 - SURE)) & ~np.isin(ids, taught), level, 0)
+def _levels(p: np.ndarray) -> np.ndarray:
+    return np.rint(_STEPS * logit(p, 1e-9)).astype(np.int64)
 
 
-def _bar(counts: dict[int, int], want: int) -> tuple[int, float]:
-    """The least level needed for ``want`` rows, and the share of the rows at that level which makes up the number."""
-    for level in sorted(counts, reverse=True):
-        if counts[level] >= want:
-            return level, want / counts[level]
-        want -= counts[level]
-    return 0, 0.0
+@dataclass(frozen=True)
+class Bars:
+    """The level up to which a view labels rows as bad and the one from which as good, with the share taken at each."""
 
+    low: int
+    low_share: float
+    high: int
+    high_share: float
 
-def _over(level: np.ndarray, ids: np.ndarray, bar: tuple[int, float]) -> np.ndarray:
-    draw = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) / 2.0**32
-    return (level > bar[0]) | (level == bar[0]) & (draw < bar[1])
+    @staticmethod
+    def of(counts: dict[int, int], good: float) -> Bars:
+        """For the EXCHANGED share of the rows, split as the labelled rows are."""
+        size = sum(counts.values())
 
+        def edge(levels: list[int], want: float) -> tuple[int, float]:
+            for level in levels:
+                if counts[level] >= want:
+                    return level, want / counts[level]
+                want -= counts[level]
+            return levels[-1] if levels else 0, 1.0
 
-class HeldPool:
-    """Unlabelled rows as matrices: ``parts`` of ids, text features and metadata features."""
-
-    def __init__(self, x: np.ndarray, z: np.ndarray):
-        self.size, self.part = len(x), (np.arange(len(x)), x, z)
+        up = sorted(counts)
+        return Bars(*edge(up, EXCHANGED * size * (1 - good)), *edge(up[::-1], EXCHANGED * size * good))
 
-    def counts(self, models: dict, taught: dict) -> list[tuple[str, int, int]]:
-        return _counted(self.part, models, taught)
+    def labels(self, level: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """1, 0 or -1 (none) for each row; ``draw`` settles rows at a bar's own level."""
+        good = (level > self.high) | ((level == self.high) & (draw < self.high_share))
+        bad = (level < self.low) | ((level == self.low) & (draw < self.low_share))
+        return np.where(bad & ~good, 0, np.where(good & ~bad, 1, -1))
 
-    def rows(self, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        ids, *views = self.part
-        return [(other, ids[at], views[other == "meta"][at], label) for other, at, label in _chosen(self.part, models, taught, bars)]
 
-    def features(self, view: str, rows: np.ndarray) -> np.ndarray:
-        return rows
+def _draw(ids: np.ndarray, salt: int) -> np.ndarray:
+    h = (ids.astype(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) / 2.0**24
 
 
-def _counted(part: tuple, models: dict, taught: dict) -> list[tuple[str, int, int]]:
-    """The view that is taught, level and number of rows."""
-    ids, x, z = part
+def _counted(rows: Rows, models: dict[str, View]) -> list[tuple[str, int, int]]:
+    """The view that judges, level and number of rows."""
     out = []
-    for other, p in (("meta", models["text"].probability(x)), ("text", models["meta"].probability(z))):
-        out += [(other, int(v), int(n)) for v, n in zip(*np.unique(_levels(p, ids, taught[other]), return_counts=True), strict=True) if v]
+    for view, model in models.items():
+        out += [(view, int(v), int(n)) for v, n in zip(*np.unique(_levels(model.probability(*rows.of(view))), return_counts=True), strict=True)]
     return out
 
 
-def _chosen(part: tuple, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """The view that is taught, the places of its new rows, and their labels."""
-    ids, x, z = part
+def _chosen(ids: np.ndarray, rows: Rows, models: dict[str, View], bars: dict[str, Bars], part: float, turn: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The view that is taught, the places of the rows it is fitted on, and their labels; ``part`` of the labelled ones."""
     out = []
-    for other, p in (("meta", models["text"].probability(x)), ("text", models["meta"].probability(z))):
-        level = _levels(p, ids, taught[other])
-        at = np.flatnonzero(((level > 0) & _over(level, ids, bars[other, 1])) | ((level < 0) & _over(-level, ids, bars[other, 0])))
-        out.append((other, at, (level[at] > 0).astype(float)))
+    for view, model in models.items():
+        label = bars[view].labels(_levels(model.probability(*rows.of(view))), _draw(ids, 1))
+        at = np.flatnonzero((label >= 0) & (_draw(ids, 2 + turn) < part))
+        out.append((_OTHER[view], at, label[at].astype(float)))
     return out
 
 
-def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, fold: np.ndarray, pool_x: np.ndarray, pool_z: np.ndarray) -> Model:
-    """Fit both views on the rows with fold > 0, exchanging pseudo-labels on the pool; calibrate on fold 0."""
-    return co_train_on(x, z, y, fold, HeldPool(pool_x, pool_z))
+class HeldPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, rows: Rows):
+        self.size, self.held, self.ids = len(rows), rows, np.arange(len(rows)) * 7919 + 1
+
+    def counts(self, models: dict[str, View]) -> list[tuple[str, int, int]]:
+        return _counted(self.held, models)
+
+    def rows(self, models: dict[str, View], bars: dict[str, Bars], part: float, turn: int) -> list[tuple[str, Rows, np.ndarray]]:
+        return [(view, self.held.at(at), label) for view, at, label in _chosen(self.ids, self.held, models, bars, part, turn)]
 
 
-def co_train_on(x: np.ndarray, z: np.ndarray, y: np.ndarray, fold: np.ndarray, pool: HeldPool | StoredPool) -> Model:
-    """As ``co_train``, on a pool that is held or stored."""
-    rate = float((y.sum() + 0.5) / (len(y) + 1))
+def co_train(rows: Rows, y: np.ndarray, fold: np.ndarray, pool: HeldPool | StoredPool, usual: dict[int, float] | None = None, rounds: int | None = None, taught: int | None = None) -> Model:
+    """Fit both views on the rows with fold > 0, exchanging pseudo-labels on the pool; calibrate on fold 0."""
+    rate, usual = float((y.sum() + 0.5) / (len(y) + 1)), usual or {}
     learn, check = fold > 0, fold == 0
     if len(set(y[learn].tolist())) < 2 or len(set(y[check].tolist())) < 2:
-        return Model(None, None, None, None, None, rate)
-    taught: dict[str, list[tuple[np.ndarray, ...]]] = {"text": [], "meta": []}
-    good, times = float(y[learn].mean()), max(1.0, pool.size / POOL)
-
-    def fitted(view: str):
-        mine = (x if view == "text" else z)[learn]
-        a, t, weight = [mine], [y[learn]], [np.ones(len(mine))]
-        if taught[view]:
-            rows, label = (np.concatenate(c) for c in list(zip(*taught[view], strict=True))[1:])
-            n = np.ones(len(rows))
-            if view == "meta":  # many rows share their metadata
-                same, n = np.unique(np.column_stack([rows, label]), axis=0, return_counts=True)
-                rows, label = same[:, :-1], same[:, -1]
-            a, t, weight = [mine, pool.features(view, rows).astype(mine.dtype)], [*t, label], [*weight, n * (WEIGHT / times)]
-        return (Trees(rounds=50) if view == "text" else Logistic(ridge=5.0)).fit(np.vstack(a), np.concatenate(t), np.concatenate(weight))
-
-    models = {v: fitted(v) for v in taught}
-    for _ in range(ROUNDS if pool.size else 0):
-        known = {v: np.sort(np.concatenate([np.zeros(0, np.int64), *(ids for ids, _, _ in rows)])) for v, rows in taught.items()}
-        levels: dict[tuple[str, int], dict[int, int]] = {(v, label): {} for v in taught for label in (0, 1)}
-        for other, level, n in pool.counts(models, known):
-            at = levels[other, int(level > 0)]
-            at[abs(level)] = at.get(abs(level), 0) + n
-        bars = {k: _bar(v, round(EXCHANGED * times * (good if k[1] else 1 - good))) for k, v in levels.items()}
-        for other, *new in pool.rows(models, known, bars):
-            taught[other].append(tuple(new))
-        models = {v: fitted(v) for v in taught}
-    text_calibration = Isotonic().fit(models["text"].probability(x[check]), y[check])
-    meta_calibration = Isotonic().fit(models["meta"].probability(z[check]), y[check], prior=20.0)
-    views = np.column_stack([logit(text_calibration.probability(models["text"].probability(x[check])), 1e-3), logit(meta_calibration.probability(models["meta"].probability(z[check])), 1e-3)])
-    return Model(models["text"], models["meta"], text_calibration, meta_calibration, Logistic(ridge=1.0).fit(views, y[check]), rate)
+        return Model(None, None, None, None, None, rate, usual)
+    known, good = rows.at(learn), float(y[learn].mean())
+    most = TAUGHT if taught is None else taught
+    part = min(1.0, most / max(1.0, EXCHANGED * pool.size))
+    lessons: dict[str, tuple[Rows, np.ndarray]] = {}
+
+    def fitted(view: str) -> View:
+        dense, coded = known.of(view)
+        target, weight = y[learn], np.ones(int(learn.sum()))
+        if view in lessons and len(lessons[view][1]):
+            more, label = lessons[view]
+            each = min(1.0, WEIGHT * len(target) / len(label)) if len(label) > len(target) else WEIGHT
+            other_dense, other_coded = more.of(view)
+            dense, coded = np.vstack([dense, other_dense]), np.vstack([coded, other_coded])
+            target, weight = np.concatenate([target, label]), np.concatenate([weight, np.full(len(label), each)])
+        return View().fit(dense, coded, target, weight)
+
+    models = {view: fitted(view) for view in _OTHER}
+    for turn in range((ROUNDS if rounds is None else rounds) if pool.size else 0):
+        levels: dict[str, dict[int, int]] = {view: {} for view in _OTHER}
+        for view, level, n in pool.counts(models):
+            levels[view][level] = levels[view].get(level, 0) + n
+        bars = {view: Bars.of(counts, good) for view, counts in levels.items()}
+        lessons = {view: (more, label) for view, more, label in pool.rows(models, bars, part, turn)}
+        models = {view: fitted(view) for view in _OTHER}
+    checked = rows.at(check)
+    p, q = (models[v].probability(*checked.of(v)) for v in ("text", "meta"))
+    text_calibration, meta_calibration = Isotonic().fit(p, y[check]), Isotonic().fit(q, y[check], prior=5.0)
+    both = np.column_stack([logit(text_calibration.probability(p), 1e-3), logit(meta_calibration.probability(q), 1e-3)])
+    return Model(models["text"], models["meta"], text_calibration, meta_calibration, Logistic(ridge=1.0).fit(both, y[check]), rate, usual)
 
 
 def _columns() -> dict[str, Column]:
@@ -225,97 +297,109 @@ def _prepared(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), *[c.alias(n) for n, c in _columns().items()])
 
 
-def _measured(rows: DataFrame) -> DataFrame:
+def usual_lengths(docs: DataFrame) -> dict[int, float]:
+    """Median log length of each source bucket (-1: null), and of all as -2: at most SOURCES + 2 numbers."""
+    own = _columns()
+    rows = docs.select(own["source"].alias("source"), F.log1p(own["size"]).alias("size")).filter("size >= 0")
+    median = F.percentile_approx("size", 0.5, 1000).alias("m")
+    out = {r.source: float(r.m) for r in rows.groupBy("source").agg(median).collect()}
+    total = rows.agg(median).first().m
+    return out | {-2: float(total or 0.0)}
+
+
+def _batch_rows(text: pa.Array, lang: pa.Array, source: pa.Array, size: pa.Array, usual: dict[int, float]) -> Rows:
+    langs, sources = lang.to_numpy(zero_copy_only=False), source.to_numpy(zero_copy_only=False)
+    got = [features(t.as_py(), s, usual.get(k, usual.get(-2, 0.0))) for t, s, k in zip(text, size.to_pylist(), sources.tolist(), strict=True)]
+    n = len(got)
+    return Rows(np.array([g[0] for g in got], np.float32).reshape(n, len(CONTENT)), np.array([g[1] for g in got], np.float32).reshape(n, WORDS), np.array([g[2] for g in got], np.float32).reshape(n, len(FORM)), langs, sources)
+
+
+_STORED = "content array<float>, words array<float>, form array<float>, lang int, source int"
+
+
+def _measured(rows: DataFrame, usual: dict[int, float]) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("quality", _BUCKETS.clear)
         for b in parts:
-            x = [text_features(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32())), *b.columns[2:]], ["key", "x", "lang", "source", "size"])
+            r = _batch_rows(b.column(1), b.column(2), b.column(3), b.column(4), usual)
+            lists = [pa.array(list(a), pa.list_(pa.float32())) for a in (r.content, r.words, r.form)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, b.column(2), b.column(3)], ["key", "content", "words", "form", "lang", "source"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text", "lang", "source", "size").mapInArrow(batches, f"key {kind}, x array<float>, lang int, source int, size double")
+    return rows.select("key", "text", "lang", "source", "size").mapInArrow(batches, f"key {kind}, {_STORED}")
 
 
-def _part(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Ids, text features and raw metadata of a batch of a stored pool."""
-    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(TEXT_FEATURES))
-    return b.column(0).to_numpy(), x, np.column_stack([b.column(i).to_numpy().astype(float) for i in (2, 3, 4)])
+def _stored_rows(b: pa.RecordBatch, first: int) -> Rows:
+    dense = [b.column(first + i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n) for i, n in enumerate((len(CONTENT), WORDS, len(FORM)))]
+    return Rows(*dense, b.column(first + 3).to_numpy(zero_copy_only=False), b.column(first + 4).to_numpy(zero_copy_only=False))
 
 
 class StoredPool:
-    """All unlabelled rows, as a stored table of id, x, lang, source and size."""
+    """All unlabelled rows, as a stored table of id and features."""
 
     def __init__(self, table: DataFrame):
         self.table, self.size = table, table.count()
 
-    def counts(self, models: dict, taught: dict) -> list[tuple[str, int, int]]:
-        shared = self.table.sparkSession.sparkContext.broadcast((models, taught))
+    def counts(self, models: dict[str, View]) -> list[tuple[str, int, int]]:
+        shared = self.table.sparkSession.sparkContext.broadcast(models)
 
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                ids, x, meta = _part(b)
-                got = list(zip(*_counted((ids, x, meta_matrix(*meta.T)), *shared.value), strict=True)) or [(), (), ()]
+                got = list(zip(*_counted(_stored_rows(b, 1), shared.value), strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["view", "level", "n"])
 
         rows = self.table.mapInArrow(batches, "view string, level int, n long").groupBy("view", "level").sum("n").collect()
         shared.destroy()
         return [tuple(r) for r in rows]
 
-    def rows(self, models: dict, taught: dict, bars: dict) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        shared = self.table.sparkSession.sparkContext.broadcast((models, taught, bars))
-        names = ["view", "ids", "rows", "labels"]
+    def rows(self, models: dict[str, View], bars: dict[str, Bars], part: float, turn: int) -> list[tuple[str, Rows, np.ndarray]]:
+        shared = self.table.sparkSession.sparkContext.broadcast((models, bars))
+        schema = f"view string, id long, label int, {_STORED}"
 
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                ids, x, meta = _part(b)
-                got = [(v, ids[at].tobytes(), (x if v == "text" else meta)[at].tobytes(), label.tobytes()) for v, at, label in _chosen((ids, x, meta_matrix(*meta.T)), *shared.value) if len(at)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], pa.binary() if i else pa.string()) for i in range(4)], names)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for view, at, label in _chosen(ids, _stored_rows(b, 1), *shared.value, part, turn):
+                    some = b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array([view] * len(at), pa.string()), some.column(0), pa.array(label, pa.int32()), *some.columns[1:]], ["view", "id", "label", "content", "words", "form", "lang", "source"])
 
-        found = self.table.mapInArrow(batches, "view string, ids binary, rows binary, labels binary").collect()
+        found = self.table.mapInArrow(batches, schema).toArrow()  # about TAUGHT rows a view
         shared.destroy()
         out = []
-        for view, kind, width in (("text", np.float32, len(TEXT_FEATURES)), ("meta", np.float64, 3)):
-            ids, rows, labels = (np.frombuffer(b"".join(r[i] for r in found if r.view == view), k) for i, k in ((1, np.int64), (2, kind), (3, np.float64)))
-            order = np.argsort(ids, kind="stable")
-            out.append((view, ids[order], rows.reshape(-1, width)[order], labels[order]))
+        for view in _OTHER:
+            own = found.filter(pa.compute.equal(found.column("view"), view)).sort_by([("id", "ascending")]).combine_chunks()
+            parts = own.to_batches()
+            b = parts[0] if parts else pa.RecordBatch.from_pylist([], schema=found.schema)
+            out.append((view, _stored_rows(b, 3), b.column(2).to_numpy(zero_copy_only=False).astype(float)))
         return out
 
-    def features(self, view: str, rows: np.ndarray) -> np.ndarray:
-        return rows if view == "text" else meta_matrix(*rows.T)
-
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, taught: int = TAUGHT, rounds: int | None = None) -> Model:
     """A model from a bounded sample of labelled and all unlabelled rows of ``docs`` (doc columns as in the documents table)."""
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)").dropDuplicates(["key"])
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)").groupBy("key").agg(F.min("label").alias("label"))
     scratch = Scratch(docs.sparkSession, "quality")
-    rows = scratch.table(_measured(_prepared(docs, key).filter("key is not null")), "measured")
-    sample = bounded(rows.join(known, "key"), "key", SAMPLE, "quality").withColumn("fold", F.floor(share(F.col("key"), "quality-fold") * FOLDS).cast("int"))
-    got = sample.collect()
-    unlabelled = rows.join(known, "key", "left_anti").select(F.xxhash64("key", F.lit("quality-pool")).alias("id"), "x", "lang", "source", "size")
-    pool = scratch.table(unlabelled, "pool")
+    usual = usual_lengths(docs)
+    measured = _measured(_prepared(docs, key).filter("key is not null"), usual)
+    rows = scratch.table(measured.join(known, "key", "left"), "measured")
+    some = bounded(rows.filter("label is not null"), "key", sample, "quality").withColumn("fold", F.floor(share(F.col("key"), "quality-fold") * FOLDS).cast("int"))
+    got = some.select("fold", "label", "content", "words", "form", "lang", "source").toArrow().sort_by([("fold", "ascending"), ("label", "ascending")]).to_pylist()
+    got.sort(key=lambda r: (r["fold"], r["label"], r["content"], r["form"], r["lang"], r["source"]))
+    n = len(got)
+    held = Rows(*(np.array([r[c] for r in got], np.float32).reshape(n, k) for c, k in (("content", len(CONTENT)), ("words", WORDS), ("form", len(FORM)))), *(np.array([r[c] for r in got], int) for c in ("lang", "source")))
+    pool = StoredPool(rows.filter("label is null").select(F.xxhash64("key", F.lit("quality-pool")).alias("id"), "content", "words", "form", "lang", "source"))
+    model = co_train(held, np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got], int), pool, usual, rounds, taught)
     scratch.drop(rows)
-    got.sort(key=lambda r: (r.fold, r.label, r.x, r.lang, r.source, r.size))
-    x = np.array([r.x for r in got], np.float32).reshape(len(got), len(TEXT_FEATURES))
-    z = meta_matrix(*np.array([(r.lang, r.source, r.size) for r in got], float).reshape(len(got), 3).T)
-    model = co_train_on(x, z, np.array([r.label for r in got], float), np.array([r.fold for r in got], int), StoredPool(pool))
-    scratch.drop(pool)
     return model
 
 
-def _scores(b: pa.RecordBatch, at: tuple[int, int, int, int], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text, lang, source, size = (b.column(i) for i in at)
-    x = np.array([text_features(t.as_py()) for t in text], np.float32).reshape(b.num_rows, len(TEXT_FEATURES))
-    z = np.array([meta_features(*m) for m in zip(lang.to_pylist(), source.to_pylist(), size.to_pylist(), strict=True)], float).reshape(b.num_rows, LANGS + SOURCES + 6)
-    return model.views(x, z)
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """key, text_score, meta_score, quality (probability of label 1) and kept of every row, by a narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_worker("quality")
+        in_worker("quality", _BUCKETS.clear)
         for b in parts:
-            p, q, r = _scores(b, (1, 2, 3, 4), shared.value)
+            p, q, r = shared.value.views(_batch_rows(*b.columns[1:5], shared.value.usual))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in (p, q, r)), pa.array(r >= threshold)], ["key", "text_score", "meta_score", "quality", "kept"])
 
     rows = _prepared(docs, key)
@@ -331,9 +415,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], *[c.alias(f"of_{n}") for n, c in _columns().items()])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_worker("quality")
+        in_worker("quality", _BUCKETS.clear)
         for b in parts:
-            _, _, quality = _scores(b, (width, width + 1, width + 2, width + 3), shared.value)
+            _, _, quality = shared.value.views(_batch_rows(*b.columns[width : width + 4], shared.value.usual))
             kept = b.filter(pa.array(quality >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:width], own)
 

@@ -1,6 +1,9 @@
-"""Co-training on made views, features of odd texts, rows in and out, and accuracy on labelled documents."""
+"""Co-training on documents with few labels, features of odd texts, rows in and out, and accuracy on labelled documents."""
+
+import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cuelight.llm import quality as q
@@ -8,60 +11,81 @@ from cuelight.llm import queries
 
 
 def test_features_of_odd_texts():
-    for text in (None, "", " ", "x", "word " * 50000, "\n\n", "%%%", "é" * 9, "a\x00b"):
-        got = q.text_features(text)
-        assert len(got) == len(q.TEXT_FEATURES) and np.isfinite(got).all()
-    assert q.text_features(None) == q.text_features("")
-    assert len(q.meta_features(-1, -1, -1)) == len(q.meta_features(3, 5, 700)) == q.LANGS + q.SOURCES + 6
-
-
-def test_views_teach_each_other():
-    rng = np.random.default_rng(4)
-
-    def rows(n):
-        y = (rng.random(n) < 0.6).astype(float)
-        x = rng.normal(size=(n, len(q.TEXT_FEATURES)))
-        z = np.zeros((n, q.LANGS + q.SOURCES + 6))
-        x[:, 3] += 4 * y
-        z[np.arange(n), rng.integers(0, 3, n) + 3 * y.astype(int)] = 1
-        return x, z, y
-
-    x, z, y = rows(120)
-    px, pz, py = rows(2000)
-    m = q.co_train(x, z, y, rng.integers(0, 4, 120), px, pz)
-    p, r, both = m.views(px, pz)
-    assert ((both > 0.5) == py).mean() > 0.97 and ((r > 0.5) == py).mean() > 0.95 and ((p > 0.5) == py).mean() > 0.9
-    assert q.co_train(x, z, y * 0, rng.integers(0, 4, 120), px, pz).views(px, pz)[2].std() == 0
-
-
-def test_all_unlabelled_rows_are_asked(spark, monkeypatch):
-    sizes, bars, asked = [], [], []
-    monkeypatch.setattr(q, "POOL", 40)
-    monkeypatch.setattr(q, "EXCHANGED", 8)
-    plain = q.StoredPool.rows
-
-    def rows(self, models, taught, bar):
-        got = plain(self, models, taught, bar)
-        sizes.append(self.size)
-        for view, ids, mine, labels in got:
-            assert len(ids) == len(mine) == len(labels) and not np.isin(ids, taught[view]).any()
-            bars.append((view, len(ids)))
-        asked.extend(i for view, ids, _, _ in got if view == "meta" for i in ids)
+    for text in (None, "", " ", "x", "word " * 50000, "\n\n", "%%%", "é" * 9, "a\x00b", "!?"):
+        for size in (-1.0, 0.0, 20000.0):
+            got = q.features(text, size, 5.0)
+            assert [len(g) for g in got] == [len(q.CONTENT), q.WORDS, len(q.FORM)] and all(np.isfinite(g).all() for g in got)
+    assert str(q.features(None, 1.0, 2.0)) == str(q.features("", 1.0, 2.0))
+    assert q.one_hot(np.array([-1, 3]), np.array([5, -1])).sum(1).tolist() == [1.0, 1.0]
+
+
+def _rows(docs):
+    bucket = lambda s, n: -1 if s is None else zlib.crc32(s.encode()) % n
+    got = [q.features(r["text"], -1.0 if r["n_chars"] is None else r["n_chars"], 7.0) for r in docs]
+    dense = [np.array([g[i] for g in got], np.float32) for i in range(3)]
+    return q.Rows(*dense, np.array([bucket(r["lang"], q.LANGS) for r in docs]), np.array([bucket(r["source"], q.SOURCES) for r in docs]))
+
+
+def test_exchange_helps_where_labels_are_few():
+    """On documents of the corpus: 60 labels, the rest unlabelled; held-out labelled documents are judged."""
+    d = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    docs = [r for r in pq.read_table(f"{d}/documents.parquet").to_pylist() if r["doc_id"] % 2 or r["doc_id"] in truth]
+    rows, y = _rows(docs), np.array([truth.get(r["doc_id"], -1) for r in docs])
+    pool, labelled = q.HeldPool(rows.at(np.flatnonzero(y < 0))), np.flatnonzero(y >= 0)
+    alone, both = [], []
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(labelled)
+        known, asked = order[:60], order[2000:]
+        for rounds, into in ((0, alone), (q.ROUNDS, both)):
+            m = q.co_train(rows.at(known), y[known].astype(float), np.arange(60) % 4, pool, rounds=rounds)
+            if m.text is not None:
+                own = m.meta.probability(*rows.at(asked).of("meta"))
+                into.append([np.mean((m.views(rows.at(asked))[2] >= 0.5) == y[asked]), _order(own, y[asked])])
+    alone, both = np.mean(alone, axis=0), np.mean(both, axis=0)
+    assert both[0] > alone[0] + 0.01 and both[0] > 0.95
+    assert both[1] > alone[1] + 0.01  # the metadata view learns from the content view
+
+
+def _order(score, y):
+    """Chance that a good row scores above a bad one."""
+    good, bad = score[y == 1], score[y == 0]
+    return float(np.mean((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])))
+
+
+def test_bars():
+    counts = {-9: 2, -3: 5, 0: 80, 4: 10, 8: 3}
+    bars = q.Bars.of(counts, 0.5)  # 15 of each class
+    level = np.repeat(list(counts), list(counts.values()))
+    got = bars.labels(level, np.linspace(0, 1, len(level), endpoint=False))
+    assert (got[level < 0] == 0).all() and (got[level > 4] == 1).all() and (got[level == 4] == 1).all()
+    assert 0 < (got[level == 0] == 0).sum() < 80
+
+
+def test_rounds_cover_all_unlabelled_rows(spark, monkeypatch):
+    """The stored pool counts and fetches what the same rows in memory give, whatever their partitions."""
+    seen, plain = [], q.StoredPool.rows
+
+    def rows(self, models, bars, part, turn):
+        got = plain(self, models, bars, part, turn)
+        table = self.table.orderBy("id").toPandas()
+        held = q.HeldPool(q.Rows(*(np.array(table[c].tolist(), np.float32) for c in ("content", "words", "form")), table["lang"].to_numpy(), table["source"].to_numpy()))
+        held.ids = table["id"].to_numpy()
+        assert sorted(held.counts(models)) == sorted(self.counts(models))
+        for (v, mine, label), (w, theirs, other) in zip(got, sorted(held.rows(models, bars, part, turn), key=lambda x: list(q._OTHER).index(x[0])), strict=True):
+            assert v == w and np.array_equal(mine.content, theirs.content) and np.array_equal(label, other)
+        seen.append((self.size, [len(x[2]) for x in got]))
         return got
 
     monkeypatch.setattr(q.StoredPool, "rows", rows)
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    q.fit(docs, labels)
     free = docs.join(labels, "doc_id", "left_anti").count()
-    assert sizes == [free] * q.ROUNDS
-    assert len(asked) == len(set(asked)) > 4 * 8  # more than a pool of 40 rows can give
-    assert max(n for view, n in bars if view == "meta") <= 1.3 * 8 * free / 40
-
-
-def test_metadata_matrix():
-    rows = [(-1, -1, -1.0), (3, 5, 700.0), (0, 63, 0.0), (15, -1, 20000.0)]
-    assert np.allclose(q.meta_matrix(*np.array(rows).T), [q.meta_features(int(a), int(b), c) for a, b, c in rows])
+    q.fit(docs.repartition(5), labels, rounds=2)
+    assert [s for s, _ in seen] == [free] * 2 and all(0.2 * free < n < 0.4 * free for _, two in seen for n in two)
+    seen.clear()
+    q.fit(docs, labels, rounds=1, taught=20)
+    assert all(n < 60 for _, two in seen for n in two)
 
 
 def test_query_accuracy(spark):
