@@ -5,9 +5,9 @@ others and in many different surroundings (so that copies of one text do not put
 lexicon densities, nearness to words of the second person, and rates of capitals, punctuation and obfuscation. Trees are
 fitted on one part of the sample and calibrated on another.
 
-Bounds: at most about SAMPLE labelled rows are used, chosen by the hash of their id; the lexicon has at most LEXICON
-entries. Every text is scored whole. Defined results: null and empty texts get a score like any text without words;
-unlabelled data, or labels of one class, give a constant score; rows without an id are scored and count as not held out.
+Bounds: at most about ``sample`` labelled rows (SAMPLE) are used, chosen by the hash of their id; they are fetched once
+and stored. The lexicon holds every unit of them that passes the tests. Every text is scored whole. Defined results: null and empty texts get a score like any text without words;
+unlabelled data, or labels of one class, give a constant score; of contradictory labels of an id the higher counts; rows without an id are scored and count as not held out.
 Ids, languages, sources and labels are no features.
 """
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.boosting import Isotonic, Trees
 from cuelight.llm.labelled import bounded, crc_remainder, share
-from cuelight.llm.store import in_worker
+from cuelight.llm.store import Scratch, in_worker
 
-#: Labelled rows used, entries of the lexicon, least toxic texts and surroundings of an entry, least ratio of its rates.
-SAMPLE, LEXICON, LEAST_TEXTS, LEAST_AROUND, LEAST_RATIO = 12_000, 20_000, 3, 5, 12.0
+#: Labelled rows used, least toxic texts and surroundings of an entry of the lexicon, least ratio of its rates.
+SAMPLE, LEAST_TEXTS, LEAST_AROUND, LEAST_RATIO = 12_000, 3, 5, 12.0
 #: Lengths of beginnings of words that may become entries.
 BEGINNINGS = range(4, 8)
 #: Words on either side in which a word of the second person counts as near.
@@ -136,43 +136,31 @@ def _units(text: str | None) -> dict[tuple[bool, str], int]:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """The lexicon of ``sample`` (text, label): two passes, counted where the texts are and joined by unit."""
-    spark = sample.sparkSession
-    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    schema = "whole boolean, unit string, texts long, around long"
+    """The lexicon of ``sample`` (text, label): units of both classes counted where the texts are, and judged by unit."""
+    schema = "whole boolean, unit string, toxic long, clean long, around long"
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[tuple[bool, str], int] = defaultdict(int)
-        masks: dict[tuple[bool, str], int] = defaultdict(int)
+        texts: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0, 0])
         for b in parts:
-            for t in b.column(0):
+            for t, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 for unit, mask in _units(t.as_py()).items():
-                    texts[unit] += 1
-                    masks[unit] |= mask
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in texts], pa.bool_()), pa.array([u[1] for u in texts], pa.string()), pa.array(list(texts.values()), pa.int64()), pa.array(signed, pa.int64())], ["whole", "unit", "texts", "around"])
-
-    toxic = sample.filter("label = 1").select("text").mapInArrow(counted, schema).groupBy("whole", "unit").agg(F.sum("texts").alias("texts"), F.bit_or("around").alias("around"))
-    often = toxic.filter((F.col("texts") >= LEAST_TEXTS) & (F.bit_count("around") >= LEAST_AROUND))
-    often = {(r.whole, r.unit): r.texts for r in often.orderBy(F.desc("texts"), "unit").limit(LEXICON).collect()}
-    if not often or not sizes.get(0):
-        return Lexicon(frozenset(), frozenset())
-    shared = spark.sparkContext.broadcast(frozenset(often))
-
-    def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bool, str], int] = defaultdict(int)
-        for b in parts:
-            for t in b.column(0):
-                words = {w for w in map(plain, (t.as_py() or "").split()) if w}
-                for unit in {(True, w) for w in words} | {(False, w[:n]) for w in words for n in BEGINNINGS if len(w) > n}:
-                    if unit in shared.value:
-                        seen[unit] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in seen], pa.bool_()), pa.array([u[1] for u in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["whole", "unit", "texts"])
+                    seen = texts[unit]
+                    seen[1 - label] += 1
+                    if label:
+                        seen[2] |= mask
+        signed = [m - (1 << 64) if m >> 63 else m for _, _, m in texts.values()]
+        columns = [pa.array([u[0] for u in texts], pa.bool_()), pa.array([u[1] for u in texts], pa.string()), *(pa.array([n[i] for n in texts.values()], pa.int64()) for i in (0, 1)), pa.array(signed, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["whole", "unit", "toxic", "clean", "around"])
 
-    clean = sample.filter("label = 0").select("text").mapInArrow(others, "whole boolean, unit string, texts long").groupBy("whole", "unit").agg(F.sum("texts").alias("texts"))
-    rest = {(r.whole, r.unit): r.texts for r in clean.collect()}
-    chosen = [u for u, n in often.items() if (n / sizes[1]) >= LEAST_RATIO * ((rest.get(u, 0) + 0.5) / (sizes[0] + 1))]
-    return Lexicon(frozenset(w for whole, w in chosen if whole), frozenset(w for whole, w in chosen if not whole))
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Lexicon(frozenset(), frozenset())
+    units = sample.select("text", "label").mapInArrow(counted, schema).groupBy("whole", "unit")
+    units = units.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("around").alias("around"))
+    often = (F.col("toxic") >= LEAST_TEXTS) & (F.bit_count("around") >= LEAST_AROUND)
+    specific = F.col("toxic") / sizes[1] >= LEAST_RATIO * (F.col("clean") + 0.5) / (sizes[0] + 1)
+    chosen = units.filter(often & specific).select("whole", "unit").collect()  # part of the units of a bounded sample
+    return Lexicon(frozenset(r.unit for r in chosen if r.whole), frozenset(r.unit for r in chosen if not r.whole))
 
 
 @dataclass
@@ -188,18 +176,26 @@ class Model:
         return np.clip(self.calibration.probability(self.trees.probability(x)), 0, 1)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most about SAMPLE rows of ``labelled``; a fifth of them, chosen by hash, calibrates it."""
+def one_label(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(key, label) with one row for each id: of contradictory labels the higher counts."""
+    return labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """A model from at most about ``sample`` rows of ``labelled``; a fifth of them, chosen by hash, calibrates it."""
+    scratch = Scratch(labelled.sparkSession, "toxicity")
     rows = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
-    sample = bounded(rows, "key", SAMPLE, "toxicity").withColumn("part", F.floor(share(F.col("key"), "toxicity-fold") * 5).cast("int"))
-    lexicon = learn_lexicon(sample.filter("part <> 0 or part is null").select("text", "label").distinct())
+    some = bounded(rows, "key", sample, "toxicity").withColumn("part", F.floor(share(F.col("key"), "toxicity-fold") * 5).cast("int"))
+    some = scratch.table(some, "sample")
+    lexicon = learn_lexicon(some.filter("part <> 0 or part is null").select("text", "label").distinct())
 
     def measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for b in parts:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([reader.features(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))], ["label", "part", "x"])
 
-    got = sample.select("text", "label", "part").mapInArrow(measured, "label int, part int, x array<double>").collect()
+    got = some.select("text", "label", "part").mapInArrow(measured, "label int, part int, x array<double>").collect()
+    scratch.drop(some)
     got.sort(key=lambda r: (r.part or 0, r.label, r.x))
     x = np.array([r.x for r in got], float).reshape(len(got), len(FEATURES))
     y, part = np.array([r.label for r in got], float), np.array([r.part or 0 for r in got])
@@ -244,7 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text: str = "tex
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.3, by: int = 4, held: int = 2) -> DataFrame:
     """key, held_out, score and predicted of every row, learned from labelled rows that are not held out."""
-    learn = labels.select(F.col(key), F.col("toxic").alias("label")).filter(F.coalesce(crc_remainder(F.col(key), by) != held, F.lit(False))).dropDuplicates([key])
+    learn = one_label(labels.filter(F.coalesce(crc_remainder(F.col(key), by) != held, F.lit(False))), key)
     model = fit(docs.select(key, "text").join(learn, key), key, "text", "label")
     out = score(docs, model, key, "text")
     held_out = F.coalesce(crc_remainder(F.col(key), by) == held, F.lit(False))

@@ -53,3 +53,17 @@ def test_held_out(spark):
     caught = [r.predicted for r in got if r.toxic]
     left = [r.predicted for r in got if not r.toxic]
     assert np.mean(caught) > 0.9 and np.mean(left) < 0.02
+
+
+def test_rare_words_are_entries(spark):
+    """The lexicon holds every unit that passes, however many frequent ones there are."""
+    toxic = [f"common words here {i} vile{i % 40}xq {'abcdefgh'[i % 8]}end" for i in range(400)]
+    clean = [f"common words here {i} and nothing else {i}" for i in range(400)]
+    df = spark.createDataFrame([(x, 1) for x in toxic] + [(x, 0) for x in clean], "text string, label int")
+    words = t.learn_lexicon(df).words
+    assert {f"vile{i}xq" for i in range(40)} <= words and "common" not in words
+
+
+def test_contradictory_labels(spark):
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, t.one_label(df).collect())) == [(1, 1), (2, 0)]
