@@ -1,7 +1,9 @@
 """Connected components of a distributed edge table by contraction.
 
 Every vertex is hooked to its smallest neighbour, chains of hooks are shortened, and the edges are rewritten to what the
-vertices were hooked to, until no edge is left. Each round at least halves the vertices that still have edges. All
+vertices were hooked to, until no edge is left. A vertex that has a smaller neighbour leaves the edges in its round, and
+chains of hooks are shortened, so that long paths take few rounds; a hub with many smaller neighbours takes one hook a
+round, but those neighbours then are neighbours of what it was hooked to. All
 steps are joins and partial aggregations; vertices with very many edges are split by adaptive skew joins.
 """
 

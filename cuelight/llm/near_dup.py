@@ -13,8 +13,12 @@ are verified there and give at most one link for a document and block. Every can
 connected, so components are those of all links.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null text or one without words has none and
-is linked with nothing; rows without a key are linked with nothing and stay. Repeated rows are copies of each other,
-and each row is judged by its own text. Other columns are not read.
+is linked with nothing; rows without a key are linked with nothing and stay. Repeated rows are copies of each other.
+Rows that share a key with different texts are one document to the links: each is compared by its own text, and what
+either is linked with is in one group. Other columns are not read.
+
+Inside, a text is named by a hash of its words (its node), so that signatures and sets are those of the text whatever
+keys it comes with; keys come in at the end, where the smallest one names a group.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ BANDS, BAND, BATCH, MISS = 30, 5, 30, 1e-6
 VALUES = BANDS * BAND
 #: 16-bit words of a stored signature: a value each, and 32 bits of each band's hash.
 WIDTH = VALUES + 2 * BANDS
-#: Members above which a component is large, and documents of a block of sets; both sides of a meeting have blocks of this size.
-LARGE, SET_BLOCK = 64, 64
+#: Members above which a component is large, and documents and shingles of a block of sets; both sides of a meeting have such blocks.
+LARGE, SET_BLOCK, SET_WORDS = 64, 64, 1 << 18
 #: Shingles that a meeting of two blocks counts at a time.
 CHUNK = 1 << 16
 #: Signatures of a block, and keys up to which a list of keys is copied to each executor (8 MB).
@@ -127,8 +131,12 @@ def _survive(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> np.n
     return at
 
 
+def _node(words: list[bytes]) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """key, n_shingles, copy (digest of the words), sig (values and bands, WIDTH words) and bands of (key, text) rows."""
+    """key, n_shingles, node (hash of the words), sig (values and bands, WIDTH words) and bands of (key, text) rows."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_worker("near_dup", _HASHES.clear)
@@ -140,7 +148,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 if len(s):
                     low = signature(s)
-                    copies.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    copies.append(_node(words))
                     hashes = band_hashes(low)
                     sigs.append(low.astype(np.uint16).tobytes() + hashes.astype(np.uint32).tobytes())
                     bands.append(hashes.view(np.int64))
@@ -148,19 +156,21 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     copies.append(None)
                     sigs.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(copies, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "n_shingles", "copy", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "n_shingles", "node", "sig", "bands"])
 
-    return docs.mapInArrow(batches, "key long, n_shingles long, copy binary, sig binary, bands array<long>")
+    return docs.mapInArrow(batches, "key long, n_shingles long, node long, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """key (the node of the text) and shingles of (key, text) rows."""
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_worker("near_dup", _HASHES.clear)
         for b in parts:
             for lo in range(0, b.num_rows, 64):
-                some = b.slice(lo, 64)
-                sets = [shingle_set(words_of(t.as_py()), width).view(np.int64) for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+                some = [w for w in (words_of(t.as_py()) for t in b.column(1).slice(lo, 64)) if w]
+                sets = [shingle_set(w, width).view(np.int64) for w in some]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(w) for w in some], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
     return docs.mapInArrow(batches, "key long, shingles array<long>")
 
@@ -225,15 +235,16 @@ def _against_large(meetings: DataFrame, tests: list[tuple[int, int]], percent: i
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for i in range(b.num_rows):
-                x, y = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                kx, ky = (np.array([m["key"] for m in s], np.int64) for s in (x, y))
-                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint16).reshape(-1, WIDTH) for s in (x, y))
+                x, y = b.column(0)[i].values, b.column(1)[i].values
+                kx, ky = (s.field("key").to_numpy() for s in (x, y))
+                sx, sy = (np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint16).reshape(-1, WIDTH) for s in (x, y))
                 p, q = (v.ravel() for v in np.meshgrid(np.arange(len(kx)), np.arange(len(ky)), indexing="ij"))
                 at = _survive(sx[p], sy[q], tests)
                 if not len(at):
                     continue
                 rows, cols = np.unique(p[at]), np.unique(q[at])
-                left, right = [np.array(x[r]["shingles"], np.int64) for r in rows], [np.array(y[c]["shingles"], np.int64) for c in cols]
+                # Only the sets of what the signatures leave are read.
+                left, right = ([s.field("shingles")[int(r)].values.to_numpy() for r in some] for s, some in ((x, rows), (y, cols)))
                 both = _shared(left, right)
                 sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
                 linked = 100 * both >= percent * (sizes - both)
@@ -251,28 +262,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored tables: signed rows, the first key of each repeated text, and the component of each linked key."""
+def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: signed rows, and the name of the group of each node that is not alone."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     tests = least_matches(percent)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     signed = scratch.table(_signed(source, width), "signed")
-    usable = signed.filter(F.col("key").isNotNull() & F.col("copy").isNotNull())
-
-    copies = scratch.table(usable.groupBy("copy").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("copy", "first"), "copies")
-    firsts = usable.join(copies, "copy", "left").filter(F.coalesce("first", "key") == F.col("key"))
-    banded = firsts.select("key", F.explode("bands").alias("bucket"))
+    usable = signed.filter(F.col("key").isNotNull() & F.col("node").isNotNull())
+
+    # One row stands for all copies of a text.
+    copies = scratch.table(usable.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first"), "copies")
+    firsts = usable.join(copies, "node", "left").filter(F.coalesce("first", "key") == F.col("key"))
+    # Texts that share a key are linked by it.
+    several_texts = usable.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("key", "b")
+    same_key = scratch.table(usable.select("key", F.col("node").alias("a")).join(several_texts, "key").filter("a <> b").select("a", "b").distinct(), "same-key")
+    banded = firsts.select(F.col("node").alias("key"), F.col("key").alias("row"), F.explode("bands").alias("bucket"))
     shared = scratch.table(banded.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).filter("pivot < last").select("bucket", "pivot"), "shared")
     members = scratch.table(banded.join(shared, "bucket").distinct(), "members")
-    involved = members.select("key").distinct()
+    involved = members.select("key", "row").distinct()
     count = involved.count()
     if not count:
-        labels = members.select("key", F.col("pivot").alias("component"))
+        labels = components(same_key, scratch)
     else:
         involved = scratch.table(involved, "involved")
-        wanted = F.broadcast(involved) if count <= BROADCAST_KEYS else involved
-        sigs = scratch.table(signed.filter("sig is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig")), "sigs")
-        sets = scratch.table(_sets(source.filter("key is not null").join(wanted, "key", "left_semi"), width).filter(F.size("shingles") > 0), "sets", compression="lz4")
+        small_enough = (lambda t: F.broadcast(t)) if count <= BROADCAST_KEYS else (lambda t: t)
+        nodes, rows_of = small_enough(involved.select(F.col("key").alias("node")).distinct()), small_enough(involved.select(F.col("row").alias("key")).distinct())
+        members = members.drop("row")
+        chosen = signed.filter("sig is not null").join(nodes, "node", "left_semi")
+        sigs = scratch.table(chosen.groupBy(F.col("node").alias("key")).agg(F.min("sig").alias("sig"), F.min("n_shingles").alias("size")), "sigs")
+        own_sets = _sets(source.filter("key is not null").join(rows_of, "key", "left_semi"), width)
+        sets = scratch.table(own_sets.join(nodes.withColumnRenamed("node", "key"), "key", "left_semi"), "sets", compression="lz4")
 
         def signed_pairs(pairs: DataFrame) -> DataFrame:
             one = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
@@ -288,42 +307,50 @@ def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = scratch.table(several.filter("low < high").select("bucket"), "several")
         people = scratch.table(named.select("component", "key").distinct(), "keys")
-        sizes = scratch.table(people.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE), "large")
+        sizes = people.join(sigs.select("key", "size"), "key").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+        sizes = scratch.table(sizes.filter(F.col("n") > LARGE), "large")
         mixed = scratch.table(named.join(several, "bucket", "left_semi").join(sizes, "component", "left"), "mixed")
 
         # Small components: blocks of the signatures of a bucket.
         small = scratch.table(mixed.filter("n is null").groupBy("bucket").agg(F.count("*").alias("few")).filter("few > 1"), "small")
         deal = F.pmod(F.xxhash64("key"), F.ceil(F.col("few") / BLOCK))
         dealt = mixed.filter("n is null").join(small, "bucket").select("bucket", deal.alias("part"), "key", "component")
-        blocks = dealt.join(sigs, "key").groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "component", "sig")).alias("block"))
+        blocks = dealt.join(sigs.select("key", "sig"), "key").groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "component", "sig")).alias("block"))
         blocks = scratch.table(blocks, "blocks")
         x, y = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "block")]) for s in "xy")
         more = scratch.table(_across(x.join(y, "bucket").filter("part_x <= part_y").select("block_x", "block_y"), tests), "across")
 
         # Large components: their members and what shares a bucket with them; of two large ones the smaller name comes to the other.
-        hosts = scratch.table(mixed.filter("n is not null").select("bucket", F.col("component").alias("host"), F.col("n").alias("host_n")).distinct(), "hosts")
-        guests = mixed.join(hosts, "bucket").filter("component <> host and (n is null or component < host)").select("host", "host_n", "key").distinct()
-        guests = scratch.table(guests, "guests")
-        invited = scratch.table(guests.groupBy("host", "host_n").agg(F.count("*").alias("guests")), "invited")
-        homes = people.join(invited, people["component"] == invited["host"]).select("host", "key", F.col("host_n").alias("n"))
-        comers = guests.join(invited.select("host", "guests"), "host").select("host", "key", F.col("guests").alias("n"))
+        # A block of either side has about SET_BLOCK documents, and fewer where their sets hold more than SET_WORDS shingles.
+        parts_of = lambda n, words: F.greatest(F.ceil(n / SET_BLOCK), F.ceil(words / SET_WORDS))
+        hosts = scratch.table(mixed.filter("n is not null").select("bucket", F.col("component").alias("host"), parts_of(F.col("n"), F.col("words")).alias("host_parts")).distinct(), "hosts")
+        guests = mixed.join(hosts, "bucket").filter("component <> host and (n is null or component < host)").select("host", "host_parts", "key").distinct()
+        guests = scratch.table(guests.join(sigs.select("key", "size"), "key"), "guests")
+        invited = guests.groupBy("host", "host_parts").agg(parts_of(F.count("*"), F.sum("size")).alias("guest_parts"))
+        invited = scratch.table(invited, "invited")
+        homes = people.join(invited, people["component"] == invited["host"]).select("host", "key", F.col("host_parts").alias("parts"))
+        comers = guests.join(invited.select("host", "guest_parts"), "host").select("host", "key", F.col("guest_parts").alias("parts"))
 
         def set_blocks(rows: DataFrame, name: str) -> DataFrame:
-            part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / SET_BLOCK))
-            full = rows.withColumn("part", part).join(sigs, "key").join(sets.dropDuplicates(["key"]), "key")
+            part = F.pmod(F.xxhash64("key"), F.col("parts"))
+            full = rows.withColumn("part", part).join(sigs.select("key", "sig"), "key").join(sets.dropDuplicates(["key"]), "key")
             return scratch.table(full.groupBy("host", "part").agg(F.collect_list(F.struct("key", "sig", "shingles")).alias(name)).drop("part"), name)
 
         meetings = set_blocks(homes, "home_block").join(set_blocks(comers, "guest_block"), "host").select("home_block", "guest_block")
-        final = links.unionByName(_verified(more, sets, percent)).unionByName(_against_large(meetings, tests, percent))
+        final = links.unionByName(same_key).unionByName(_verified(more, sets, percent)).unionByName(_against_large(meetings, tests, percent))
         labels = components(final, scratch)
-    return signed, copies, labels
+    # A group is named by the smallest key of its rows; a text that is linked with nothing and has no copy names itself.
+    grouped = usable.join(labels.select(F.col("key").alias("node"), "component"), "node", "left").join(copies, "node", "left").filter("component is not null or first is not null")
+    grouped = grouped.select("node", F.coalesce("component", "node").alias("component"), "key")
+    names = grouped.groupBy("component").agg(F.min("key").alias("name"))
+    named_nodes = grouped.select("node", "component").distinct().join(names, "component").select("node", "name")
+    return signed, scratch.table(named_nodes, "names")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Each row's key, n_shingles, component_id (smallest key that links reach) and kept (whether the key is that one)."""
     with small_batches(docs.sparkSession):  # all that needs Python runs in here; what is returned joins stored tables
-        signed, copies, labels = _labelled(docs, key, text, width, percent)
-    of_copy = signed.select("key", "n_shingles", "copy").join(copies, "copy", "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")).alias("first"))
-    labelled = of_copy.join(labels.select(F.col("key").alias("first"), "component"), "first", "left")
-    out = labelled.select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "first").alias("component_id"))
+        signed, names = _labelled(docs, key, text, width, percent)
+    labelled = signed.select("key", "n_shingles", "node").join(names, "node", "left")
+    out = labelled.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("name", "key")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

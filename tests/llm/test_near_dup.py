@@ -99,3 +99,14 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
     assert sorted(map(tuple, got)) == sorted((v, top(v)) for v in {v for e in edges if e[0] != e[1] for v in e})
+
+
+def test_texts_that_share_a_key(spark):
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(400)]
+    a, b = ([rng.choice(vocab) for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join([*b, "y"])), (9, " ".join([*b, "y"])), (12, "alone"), (12, "other"), (3, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int")
+    _check(df, rows, 2, 80)
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(df, width=2).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 12: 12, 3: 3}
