@@ -7,7 +7,8 @@ root holds no mergeable pair. Pieces that come again are looked up in bounded ta
 no longer fit there are merged anew, so results do not depend on the bound.
 
 Defined results: a null text counts as empty and gives no ids; texts of any length are encoded whole; repeated rows
-and null ids give one output row each; extra columns are carried by ``encode``/``decode`` and never read.
+and null ids give one output row each; extra columns are carried by ``encode``/``decode`` and never read,
+but for one that bears the name of a new column, which gives way to it; new columns can be given other names.
 """
 
 from __future__ import annotations

@@ -78,10 +78,10 @@ class Classifier:
         return [o / total for o in odds]
 
 
-def fit_classifier(labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain") -> Classifier:
-    """Naive Bayes on at most about SAMPLE rows of ``labelled`` (key, text, domain)."""
+def fit_classifier(labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE) -> Classifier:
+    """Naive Bayes on at most about ``sample`` rows of ``labelled`` (key, text, domain)."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(domain).cast("string").alias("domain")).filter("key is not null and domain is not null")
-    sample = bounded(rows, "key", SAMPLE, "mixing").withColumn("check", F.floor(share(F.col("key"), "mixing-fold") * FOLDS) == 0)
+    sample = bounded(rows, "key", sample, "mixing").withColumn("check", F.floor(share(F.col("key"), "mixing-fold") * FOLDS) == 0)
     learn = sample.filter(~F.col("check"))
     sizes = {r.domain: r.n for r in learn.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(DOMAINS + 1).collect()}
     if len(sizes) > DOMAINS:
@@ -123,6 +123,10 @@ class Mixture:
     targets: list[float]
     reached: list[float]
 
+    def shares(self) -> tuple[list[float], list[float]]:
+        """Target and reached shares of all tokens, by domain: steps may end before the targets are met (STEPS, IDLE)."""
+        return [t / (sum(self.targets) or 1.0) for t in self.targets], [r / (sum(self.reached) or 1.0) for r in self.reached]
+
     def rates(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with tokens, posterior (array in the order of the domains) and rate, by a narrow pass."""
         df = self.classifier.means(df, text)
@@ -177,8 +181,7 @@ def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "tex
     """The rows of ``docs`` as often as their rates say, with all their columns."""
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    # The id below never is negative; it keeps the optimizer from computing posteriors once more in a pushed-down filter.
-    once = (F.monotonically_increasing_id() < 0).cast("int")
-    rated = mixture.rates(rows, own[text]).withColumn("_copies", copies(F.col("rate"), F.col(own[key])) + once)
-    taken = rated.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    rated = mixture.rates(rows, own[text]).withColumn("_copies", copies(F.col("rate"), F.col(own[key])))
+    # An outer explode, as the optimizer would compute posteriors once more to filter rows in front of a plain one.
+    taken = rated.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("_copies")))).filter("_copy is not null")
     return taken.select(*[F.col(n).alias(c) for c, n in own.items()])

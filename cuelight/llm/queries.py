@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.llm import bpe, html_extract, lm, mixing, near_dup, quality, spotsigs, toxicity, url_filter, vector_index
 from cuelight.llm.store import table
 
-#: The byte-level vocabulary that the BPE query uses, as the environment's tokenizer package places it.
-BYTE_BPE = os.environ.get("CUELIGHT_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+#: The byte-level vocabulary that the BPE query uses.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +105,21 @@ def domain_classifier(docs: DataFrame, labels: DataFrame) -> mixing.Classifier:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens, domain posterior, fitted rate and number of copies: doc_id, tokens, domains, posterior, rate, copies."""
+    """Every document's tokens, domain posterior, fitted rate and number of copies, and each domain's target and reached share of all tokens."""
     docs = table(spark, sf_dir, "documents")
     model = domain_classifier(docs, table(spark, sf_dir, "labels"))
-    _, rated = mixing.fit_rates(docs.select("doc_id", "text"), model, TARGETS)
-    names = F.array(*map(F.lit, model.domains))
-    return rated.select("doc_id", "tokens", names.alias("domains"), "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    mixture, rated = mixing.fit_rates(docs.select("doc_id", "text"), model, TARGETS)
+    listed = lambda values: F.array(*map(F.lit, values))
+    wanted, reached = mixture.shares()
+    return rated.select("doc_id", "tokens", listed(model.domains).alias("domains"), "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), listed(wanted).alias("target_shares"), listed(reached).alias("reached_shares"))
+
+
+def spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose signature sets are alike by 0.8 or more: (a, b, likeness) between classes of equal sets, b null for members (a: the row, class: its class)."""
+    members, pairs = spotsigs.similar_pairs(table(spark, sf_dir, "documents"), 0.8)
+    nothing = F.lit(None)
+    of_rows = members.select(F.col("key").alias("a"), nothing.cast("long").alias("b"), F.col("class"), nothing.cast("double").alias("likeness"))
+    return of_rows.unionByName(pairs.select("a", "b", nothing.cast("long").alias("class"), "likeness"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -124,5 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "spotsigs_pairs": spotsigs_pairs,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL}

@@ -1,7 +1,8 @@
 """Scratch tables in the folder that the driver and all executors share.
 
 A table written here cuts the lineage of an iterative job and survives the loss of an executor. The folder is the
-session's ``spark.checkpoint.dir``; only where that is unset is a folder of this process used (single-machine tests).
+session's ``spark.checkpoint.dir``; where that is unset, a session on one machine uses a folder of its own, and any other
+ends with an error.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ def in_worker(owner: str, free: Callable[[], None] | None = None) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a local one where none is named."""
+    """The shared folder named by the session; where none is named, one of this machine, if it is the only one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/cuelight-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 

@@ -79,3 +79,9 @@ def test_rows(spark, both):
     assert all(r.lossless and r.input_ids == lib.encode(r.text or "", add_special_tokens=False).ids for r in checked) and len(checked) == 5
     back = bpe.decode(bpe.encode(df, BYTE_BPE), BYTE_BPE).collect()
     assert {(r.text or "") == r.decoded for r in back} == {True}
+
+
+def test_names_that_are_taken(spark):
+    df = spark.createDataFrame([("a b", 1)], "text string, input_ids int")
+    assert bpe.encode(df, BYTE_BPE).columns == ["text", "input_ids"] and len(bpe.encode(df, BYTE_BPE).first().input_ids) == 2
+    assert bpe.encode(df, BYTE_BPE, out="ids").columns == ["text", "input_ids", "ids"]

@@ -64,4 +64,5 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op10_mixing(spark, d).collect()
     assert len(rows) == spark.read.parquet(f"{d}/documents.parquet").count()
-    assert {f for r in rows for f in r.asDict()} == {"doc_id", "tokens", "domains", "posterior", "rate", "copies"}
+    assert {f for r in rows for f in r.asDict()} == {"doc_id", "tokens", "domains", "posterior", "rate", "copies", "target_shares", "reached_shares"}
+    assert max(abs(a - b) for a, b in zip(rows[0].target_shares, rows[0].reached_shares, strict=True)) < 0.01
