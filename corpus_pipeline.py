@@ -29,16 +29,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).dropDuplicates(["doc_id"])
+    labels = toxicity.one_label(table(spark, sf_dir, "labels"))
     model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), label="label")
     return toxicity.keep_clean(docs, model, MOST_TOXIC)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    kept = near_dup.near_duplicates(docs, width=SHINGLE, percent=SIMILAR).filter("kept and doc_id is not null").select("doc_id")
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """The document of smallest id of each group of near-duplicates; of rows that share an id, the least in the order of the columns."""
+    kept = near_dup.near_duplicates(docs, width=SHINGLE, percent=SIMILAR).filter("kept and doc_id is not null").groupBy("doc_id").count()
+    chosen = docs.join(kept, "doc_id").select(*docs.columns, "count")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = chosen.filter("count > 1").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    return chosen.filter("count = 1").drop("count").unionByName(again).unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
