@@ -66,18 +66,21 @@ def possible_hits(candidates: DataFrame, listings: DataFrame, count: int) -> Dat
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """Each row's key, host, path, rule and verdict. ``rules`` has host, path and verdict."""
-    listings = rules.select(F.concat(F.translate(F.col("host"), UPPER, LOWER), F.col("path")).alias("listing"), F.length("path").alias("cut"), "verdict").filter(F.col("listing").isNotNull())
-    listings = listings.groupBy("listing").agg(F.min("verdict").alias("verdict"), F.min("cut").alias("cut"))
-    # Two numbers bound what follows: how many listings there are, and the distinct path lengths, at most the longest path's.
-    found = listings.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("cut")).alias("cuts")).first()
+    parts = F.size(F.split(F.col("host"), r"\.", -1))
+    listings = rules.select(F.concat(F.translate(F.col("host"), UPPER, LOWER), F.col("path")).alias("listing"), F.length("path").alias("cut"), parts.alias("parts"), "verdict").filter(F.col("listing").isNotNull())
+    listings = listings.groupBy("listing").agg(F.min("verdict").alias("verdict"), F.min("cut").alias("cut"), F.max("parts").alias("parts"))
+    # Three things bound what follows: how many listings there are, the distinct path lengths, at most the longest path's, and the most parts of a listed host.
+    found = listings.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("cut")).alias("cuts"), F.max("parts").alias("parts")).first()
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not found.n:
         return rows.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     places = rows.select("host", "path").filter(F.col("host") != "").distinct()
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*[F.lit(c) for c in found.cuts]), lambda c: c <= F.length("path"))
+    # Suffixes with more parts than any listed host can't be listed.
+    count = F.size(labels)
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), count - found.parts + 1), count), lambda i: F.array_join(F.slice(labels, i, count), "."))
+    cuts = F.filter(F.from_json(F.lit(str(list(found.cuts))), "array<int>"), lambda c: c <= F.length("path"))
     starts = F.transform(cuts, lambda c: F.substring(F.col("path"), F.lit(1), c))
     covers = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
     candidates = places.select("host", "path", F.explode(F.array_distinct(covers)).alias("listing"))
@@ -85,5 +88,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     hits = possible_hits(candidates, listings, found.n)
     exact = hits.join(listings.select("listing", "verdict"), "listing")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("listing", "verdict"), F.struct(F.length("listing"), "listing")).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
+    # Rows without a host, however many, meet nothing and aren't shuffled to one place.
+    judged = rows.filter("host <> ''").join(best, ["host", "path"], "left").unionByName(rows.filter("host = ''"), allowMissingColumns=True)
     return judged.select(F.col("key").alias(key), "host", "path", F.col("best.listing").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

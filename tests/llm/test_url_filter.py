@@ -51,3 +51,11 @@ def test_filter_lets_through_what_is_listed(spark):
     hits = {r[0] for r in url_filter.possible_hits(probes, listed, 5000).collect()}
     assert {f"h{i}/" for i in range(5000)} <= hits
     assert len(hits) < 5000 + 0.05 * 15000
+
+
+def test_very_long_hosts(spark):
+    """A host of 30,000 parts is matched by its last parts alone; rows without a host keep their places."""
+    rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/x", "allow")], "host string, path string, verdict string")
+    urls = [(1, "http://" + "a." * 30000 + "com/x"), (2, "http://" + "b." * 30000 + "com/x"), (3, None), (3, None), (4, "no host")]
+    got = sorted((r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect())
+    assert got == [(1, "a.com/x", "allow"), (2, "com/", "block"), (3, None, "allow"), (3, None, "allow"), (4, None, "allow")]
