@@ -17,7 +17,8 @@ that every block builds exactly the part of the automaton that its texts can rea
 distinct (block, n-gram) pairs, whatever the number of ranges; a frequent n-gram comes once from each block. Ranges and
 the partitions they are dealt to grow with the tokens.
 
-Counts cover all training texts; n-grams are told apart by 64-bit hashes. Defined results: words are compared after A-Z
+Counts cover all training texts; words are told apart by 64-bit hashes, pairs and triples by hashes whose length grows with
+the tokens (BITS). Defined results: words are compared after A-Z
 are lower-cased; a null text has only its end token; without training texts every probability is the base model's 1 / 1;
 rows without an id are training texts; repeated rows are texts of their own; other columns are not read.
 """
@@ -42,6 +43,8 @@ from cuelight.llm.store import Scratch, in_worker
 BLOCK, RANGE, PER_PARTITION = 1_000_000, 1_000_000, 4
 #: The most that pairs and triples weigh against shorter n-grams, and the context counts that give them half of it.
 WEIGHT, HALF = (0.35, 0.5), (2.0, 1.0)
+#: Bits of a pair's or triple's hash beyond those that number the tokens: one in about 2**(BITS - 1) is taken for another, at any size.
+BITS = 24
 #: Hashes of the end of a text and of its start (as a context only).
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -211,20 +214,20 @@ class _Block:
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of the pairs, and the number of the one that ends at each token."""
+    def pairs(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the pairs, without their last ``shift`` bits, and the number of the one that ends at each token."""
         here = self.vocabulary[self.words]
         left = np.empty_like(here)
         left[1:] = here[:-1]
         left[self.starts()] = START
-        return _numbered(pair_hash(left, here))
+        return _numbered(pair_hash(left, here) >> np.uint64(shift))
 
-    def triples(self, pairs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of the triples, and the number of the one that ends at each token; 0 at a text's first."""
+    def triples(self, pairs: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``pairs``, of the triples; 0 at a text's first token."""
         inner = np.ones(len(at), bool)
         inner[self.starts()] = False
         here = np.flatnonzero(inner)
-        found, number = _numbered(pair_hash(pairs[at[here - 1]], self.vocabulary[self.words[here]] ^ _ODD))
+        found, number = _numbered(pair_hash(pairs[at[here - 1]], self.vocabulary[self.words[here]] ^ _ODD) >> np.uint64(shift))
         out = np.zeros(len(at), np.uint32)
         out[here] = number
         return found, out
@@ -244,9 +247,9 @@ def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], number
 
 
-def _edges(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins in sorted hashes, and the end."""
-    starts = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
+def _edges(sorted_hashes: np.ndarray, ranges: int, shift: int) -> np.ndarray:
+    """Where each hash range begins in sorted hashes of 64 - ``shift`` bits, and the end."""
+    starts = np.array([(r << (64 - shift)) // ranges for r in range(ranges)], np.uint64)
     return np.append(np.searchsorted(sorted_hashes, starts, side="left"), len(sorted_hashes))
 
 
@@ -254,7 +257,7 @@ _ASKED = "kind int, part int, block long, hashes binary, counts binary"
 _ANSWER = "block long, kind int, part int, fresh long, counts binary"
 
 
-def _asked(stored: DataFrame, ranges: int) -> DataFrame:
+def _asked(stored: DataFrame, ranges: int, shift: int) -> DataFrame:
     """What each block asks of each hash range: its words (kind 0), pairs (1) and triples (2) with its own training counts."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,15 +271,15 @@ def _asked(stored: DataFrame, ranges: int) -> DataFrame:
 
                 def asks(kind: int, hashes: np.ndarray, index: np.ndarray, own=row["block"]) -> pa.RecordBatch:
                     counts = np.bincount(index, minlength=len(hashes))
-                    edge = _edges(hashes, ranges)
+                    edge = _edges(hashes, ranges, shift if kind else 0)
                     some = [r for r in range(ranges) if edge[r] < edge[r + 1]]
                     parts_of = lambda pack, a: pa.array([pack(a[edge[r] : edge[r + 1]]) for r in some], pa.binary())
                     return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([own] * len(some), pa.int64()), parts_of(pack_sorted, hashes), parts_of(pack_counts, counts)], ["kind", "part", "block", "hashes", "counts"])
 
                 yield asks(0, block.vocabulary, block.words[train])
-                pairs, at = block.pairs()
+                pairs, at = block.pairs(shift)
                 yield asks(1, pairs, at[train])
-                triples, at = block.triples(pairs, at)
+                triples, at = block.triples(pairs, at, shift)
                 yield asks(2, triples, at[inner])
 
     return stored.select("block", "sizes", "held", "vocabulary", "words").mapInArrow(batches, _ASKED)
@@ -303,8 +306,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     total, texts = int(sizes.train or 0), int(sizes.texts or 0)
     ranges = max(16, -(-int(sizes.tokens or 0) // RANGE))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * ranges // PER_PARTITION))
-    asked = _asked(stored, ranges).repartition(partitions, "kind", "part")
-    answers = scratch.table(asked.groupBy("kind", "part").applyInPandas(_answered, _ANSWER), "answers")
+    shift = max(0, 64 - BITS - int(sizes.tokens or 0).bit_length())
+    dealt = _asked(stored, ranges, shift).repartition(partitions, "kind", "part")
+    answers = scratch.table(dealt.groupBy("kind", "part").applyInPandas(_answered, _ANSWER), "answers")
     distinct = int(answers.filter("kind = 0").agg(F.sum("fresh")).first()[0] or 0)
 
     def scored(group: pd.DataFrame) -> pd.DataFrame:
@@ -314,8 +318,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
         for kind in (0, 1, 2):
             some = group[group["kind"] == kind].sort_values("part")
             counts.append(np.concatenate([np.zeros(0, np.int64), *[unpack_counts(c) for c in some["counts"]]]))
-        hashes, pairs = block.pairs()
-        names, triples = block.triples(hashes, pairs)
+        hashes, pairs = block.pairs(shift)
+        names, triples = block.triples(hashes, pairs, shift)
         starts, n = block.starts(), len(block.words)
         link = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
         link[1][pairs] = block.words

@@ -53,9 +53,10 @@ class Scratch:
         self._fs.deleteOnExit(path)
 
     def table(self, df: DataFrame, label: str = "t", **options: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the stored table."""
+        """Write ``df`` as Parquet and return the stored table. Shuffle files of the job go when it ends."""
         path = f"{self.base}/{label}-{next(_NUMBERS)}"
-        df.write.options(**options).parquet(path)
+        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -66,17 +67,20 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
-    """Jobs that run inside send Python at most about ``most`` bytes at a time: for rows that hold whole blocks."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, most)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, most: str = "4m"):
+    """Jobs that run inside send Python at most about ``most`` bytes at a time: for rows that hold whole blocks."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a registered query."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,3 +27,16 @@ def test_worker_tables_of_others_go():
     assert not mine and other
     store.in_worker("c")
     assert not other
+
+
+def test_shuffle_files_go_with_the_job(spark):
+    import glob
+    import os
+
+    root = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    size = lambda: sum(os.path.getsize(f) for d in root for f in glob.glob(f"{d}/**/*.data", recursive=True))
+    before = size()
+    stored = store.Scratch(spark, "t").table(spark.range(300_000).repartition(3, "id"))
+    assert stored.count() == 300_000 and size() <= before
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false"
