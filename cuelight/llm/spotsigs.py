@@ -17,6 +17,7 @@ their own; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,31 +75,41 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) >= at_least * F.greatest(F.size(a), F.size(b)), full).otherwise(F.lit(0.0))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """``df`` with values of the next row by ascending ``key``: ``columns`` maps a new name to the column it is taken from.
+def with_next(df: DataFrame, key: str, columns: dict[str, str], derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``df`` with values of the next row by ascending ``key``, ties by ``_tie`` (a long): ``columns`` maps a new name to the column it is taken from.
 
     Rows are put into runs of about RUN rows: quantiles of the key cut it into at most QUANTILES parts, and equal steps
-    cut each part further. A window orders each run; the first rows of the runs, of which a few columns are kept, close the gaps.
+    cut each part further; rows without a key, and those of a key that fills a part alone, are cut by the tie. A window
+    orders each run; the first rows of the runs close the gaps. ``derive`` adds columns that ``columns`` may name; it is
+    applied to all rows and to the first rows of the runs, not to all rows twice.
     """
-    stats = df.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    stats = df.agg(F.count("*").alias("n"), F.count(key).alias("keyed"), F.min(key).alias("low"), F.max(key).alias("high")).first()
     parts = max(1, min(QUANTILES, ceil(stats.n / RUN)))
     steps = max(1, ceil(stats.n / (parts * RUN)))
-    edges = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("e")).first().e if parts > 1 else []
-    edges = sorted({int(e) for e in edges or []})
+    raw = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("e")).first().e if parts > 1 else []
+    raw = [int(e) for e in raw or []]
+    edges = sorted(set(raw) | {e - 1 for e in raw if raw.count(e) > 1})  # a frequent key has a part of its own
     low, high = (int(stats.low), int(stats.high)) if stats.low is not None else (0, 0)
     starts, ends = [low, *[e + 1 for e in edges]], [*edges, max(high, low)]
     listed = lambda xs: F.from_json(F.lit("[" + ",".join(map(str, xs)) + "]"), "array<bigint>")
     k = F.coalesce(F.col(key).cast("long"), F.lit(low))
     part = F.size(F.filter(listed(edges), lambda e: e < k)) if edges else F.lit(0)
     start, end = F.element_at(listed(starts), F.col("_part") + 1), F.element_at(listed(ends), F.col("_part") + 1)
+
+    def by_tie(rows: int) -> Column:
+        many = max(1, ceil(rows / RUN))
+        return F.floor((F.col("_tie").cast("double") / F.lit(2.0**64) + 0.5) * many).cast("int")
+
     df = df.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(part))
     step = F.floor((k - start).cast("double") * steps / (F.greatest(end - start, F.lit(0)) + 1)).cast("int")
-    df = df.withColumn("_step", F.when(F.col("_part") < 0, 0).otherwise(step) if steps > 1 else F.lit(0))
+    df = df.withColumn("_step", F.when(F.col("_part") < 0, by_tie(stats.n - stats.keyed)).when(start >= end, by_tie(stats.n)).otherwise(step))
 
     order = [F.col(key).asc_nulls_first(), F.col("_tie")]
     run = Window.partitionBy("_part", "_step").orderBy(*order)
-    rows = df.withColumns({f"_n_{n}": F.lead(F.struct(F.col(c).alias("v"))).over(run) for n, c in columns.items()})
-    heads = df.groupBy("_part", "_step").agg(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), F.struct(F.col(key), F.col("_tie"))).alias("head"))
+    rows = derive(df).withColumns({f"_n_{n}": F.lead(F.struct(F.col(c).alias("v"))).over(run) for n, c in columns.items()})
+    first = F.min_by(F.struct(*[c for c in df.columns if c not in ("_part", "_step")]), F.struct(F.col(key), F.col("_tie")))
+    heads = derive(df.groupBy("_part", "_step").agg(first.alias("_head")).select("_part", "_step", "_head.*"))
+    heads = heads.select("_part", "_step", F.struct(*[F.col(c).alias(n) for n, c in columns.items()]).alias("head"))
     # Runs of a part follow each other, and the first run of a part follows the last of the part before: few rows per part.
     heads = heads.withColumn("within", F.lead("head").over(Window.partitionBy("_part").orderBy("_step")))
     tops = heads.groupBy("_part").agg(F.min_by("head", "_step").alias("top"))
@@ -112,8 +123,8 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how alike either is to the text's and the next one's."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_signatures(rows.withColumn("_tie", F.xxhash64("text")), "text", "sigs").withColumn("n", F.length("text"))
-    rows = with_next(rows, "key", {"next_text": "text", "next_sigs": "sigs"})
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    rows = with_next(rows, "key", {"next_text": "text", "next_sigs": "sigs"}, lambda d: with_signatures(d, "text", "sigs")).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     rows = rows.select("key", "n", "sigs", "next_sigs", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     rows = with_signatures(rows, "edited", "edited_sigs")
