@@ -106,9 +106,9 @@ def test_similar_pairs(spark):
 def test_next_rows_of_hot_and_missing_keys(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(spotsigs, "RUN", 5)
+    monkeypatch.setattr(s, "RUN", 5)
     rows = [(None, f"n{i}") for i in range(60)] + [(7, f"h{i}") for i in range(90)] + [(i, f"k{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "key long, text string").withColumn("_tie", F.xxhash64("text"))
-    got = {r.text: r.after for r in spotsigs.with_next(df, "key", {"after": "text"}).collect()}
+    got = {r.text: r.after for r in s.with_next(df, "key", {"after": "text"}).collect()}
     order = [r.text for r in sorted(df.collect(), key=lambda r: (r.key is not None, r.key or 0, r._tie))]
     assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
