@@ -40,25 +40,51 @@ from cuelight.llm.store import Scratch, in_worker
 SAMPLE, ROUNDS, EXCHANGED, TAUGHT, WEIGHT = 8_000, 4, 0.3, 4_000, 0.5
 #: Buckets that languages, sources and words are hashed into; one part in FOLDS of the labelled rows calibrates the views.
 LANGS, SOURCES, WORDS, FOLDS = 16, 64, 128, 4
-#: Words whose bucket a worker keeps; others are hashed again.
+#: Words whose number a worker keeps; others are looked at again.
 KNOWN_WORDS = 200_000
 
 CONTENT = ("capitals", "digits", "signs", "other signs", "spaces", "mean word", "long words", "short words", "distinct words", "same as before", "seen 2 before", "top word", "capital words", "words with inner signs", "words ending in signs", "lone signs", "loudest half")
 FORM = ("recorded length", "length for its source", "lines", "characters a line", "spread of lines", "lines that end a sentence", "lines that begin with a capital", "distinct lines", "longest line", "bytes a character", "compressed")
 
 
-class _Buckets(dict):
-    """Signed bucket of a word: its number + 1, negative for half of the words."""
+class _Words(dict):
+    """A word's bucket (7 bits), its sign, four marks (see ``_marks``) and its length, in one number."""
 
     def __missing__(self, word: str) -> int:
         h = zlib.crc32(word.lower().encode("utf-8", "replace"))
-        value = (h % WORDS + 1) * (1 if h >> 31 else -1)
+        value = len(word) << 12 | _marks(word) << 8 | (h >> 31) << 7 | h % WORDS
         if len(self) < KNOWN_WORDS:
             self[word] = value
         return value
 
 
-_BUCKETS = _Buckets()
+def _marks(word: str) -> int:
+    """Bits: capitals (1), signs inside (2), an unusual sign at the end (4), signs alone (8)."""
+    capitals = word.isupper() and len(word) > 1
+    if word.isalnum():
+        return int(capitals)
+    inside = len(word) > 2 and not word[1:-1].isalnum()
+    ending = not word[-1].isalnum() and word[-1] not in ".,;:\"')"
+    return capitals | inside << 1 | ending << 2 | (not any(map(str.isalnum, word))) << 3
+
+
+_KNOWN = _Words()
+
+
+def _bytes(*parts: bytes | range) -> np.ndarray:
+    """A table that is true at the bytes of ``parts``."""
+    out = np.zeros(256, bool)
+    for part in parts:
+        out[list(part)] = True
+    return out
+
+
+_UPPER, _LETTER, _DIGIT, _SPACE = _bytes(range(65, 91)), _bytes(range(65, 91), range(97, 123), range(195, 256)), _bytes(range(48, 58)), _bytes(b" \n\t")
+_SIGN = _bytes(range(33, 48), range(58, 65), range(91, 97), range(123, 127))
+_ODD_SIGN = _SIGN & ~_bytes(b".,'-\"")
+_LOUD = _ODD_SIGN | _UPPER
+#: Bytes counted at a time, which bounds the memory of a very long text.
+_SPAN = 1 << 20
 
 
 def features(text: str | None, size: float, usual: float) -> tuple[list[float], np.ndarray, list[float]]:
@@ -67,27 +93,23 @@ def features(text: str | None, size: float, usual: float) -> tuple[list[float],
     raw = text.encode("utf-8", "replace")
     b = np.frombuffer(raw, np.uint8)
     n = max(1, len(b))
-    upper, lower = ((b >= 65) & (b <= 90)), ((b >= 97) & (b <= 122)) | (b >= 195)
-    digit, space = (b >= 48) & (b <= 57), (b == 32) | (b == 10) | (b == 9)
-    sign = ((b >= 33) & (b <= 47)) | ((b >= 58) & (b <= 64)) | ((b >= 91) & (b <= 96)) | ((b >= 123) & (b <= 126))
-    common = (b == 46) | (b == 44) | (b == 39) | (b == 45) | (b == 34)
+    of_byte = sum((np.bincount(b[i : i + _SPAN], minlength=256) for i in range(0, len(b), _SPAN)), np.zeros(256, np.int64))
+    upper, letters, digits, spaces, signs, odd = (int(of_byte[t].sum()) for t in (_UPPER, _LETTER, _DIGIT, _SPACE, _SIGN, _ODD_SIGN))
+    step = max(1, -(-len(b) // 8))
+    loud = np.sort(np.add.reduceat(_LOUD[b], np.arange(0, len(b), step), dtype=np.int64) / step) if len(b) else np.zeros(1)
     words = text.split()
     m = max(1, len(words))
-    ids: dict[str, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    distinct = list(dict.fromkeys(words))
+    ids = dict(zip(distinct, range(len(distinct)), strict=True))
+    w = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    times = np.bincount(w, minlength=len(distinct))
+    code = np.fromiter(map(_KNOWN.__getitem__, distinct), np.int64, len(distinct))
+    sizes = code >> 12
     same = float((w[1:] == w[:-1]).mean()) if len(w) > 1 else 0.0
     second = float((w[2:] == w[:-2]).mean()) if len(w) > 2 else 0.0
-    distinct = list(ids)
-    of_word = np.array([(x.isupper() and len(x) > 1, not x.isalnum() and any(not c.isalnum() for c in x[1:-1]), not x[-1].isalnum() and x[-1] not in ".,;:\"')", not any(c.isalnum() for c in x)) for x in distinct], float).reshape(-1, 4)
-    times = np.bincount(w, minlength=len(distinct)) if len(w) else np.zeros(0, int)
-    rates = (of_word * times[:, None]).sum(0) / m if len(w) else np.zeros(4)
-    step = max(1, -(-len(b) // 8))
-    marks = np.add.reduceat(sign & ~common | upper, np.arange(0, len(b), step)) / step if len(b) else np.zeros(1)
-    letters = max(1, int(upper.sum() + lower.sum()))
-    content = [float(upper.sum()) / letters, float(digit.sum()) / n, float(sign.sum()) / n, float((sign & ~common).sum()) / n, float(space.sum()) / n, float(sizes.mean()) if len(w) else 0.0, float((sizes > 14).mean()) if len(w) else 0.0, float((sizes < 3).mean()) if len(w) else 0.0, len(ids) / m, same, second, float(times.max()) / m if len(w) else 0.0, *map(float, rates), float(np.sort(marks)[len(marks) // 2 :].mean())]
-    bucket = np.fromiter(map(_BUCKETS.__getitem__, distinct), np.int64, len(distinct))
-    hashed = np.bincount(np.abs(bucket) - 1, np.sign(bucket) * np.sqrt(times), WORDS) / np.sqrt(m) if len(distinct) else np.zeros(WORDS)
+    rates = [int(times[code & bit != 0].sum()) / m for bit in (256, 512, 1024, 2048)]
+    content = [upper / max(1, letters), digits / n, signs / n, odd / n, spaces / n, int((sizes * times).sum()) / m, int(times[sizes > 14].sum()) / m, int(times[sizes < 3].sum()) / m, len(ids) / m, same, second, int(times.max(initial=0)) / m, *rates, float(loud[len(loud) // 2 :].mean())]
+    hashed = np.bincount(code & 127, np.where(code & 128, 1, -1) * np.sqrt(times), WORDS) / np.sqrt(m)
     lines = [x for x in text.split("\n") if x.strip()] or [""]
     long = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = sum(x.rstrip()[-1:] in (".", "!", "?", '"') for x in lines) / len(lines)
@@ -319,7 +341,7 @@ _STORED = "content array<float>, words array<float>, form array<float>, lang int
 
 def _measured(rows: DataFrame, usual: dict[int, float]) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_worker("quality", _BUCKETS.clear)
+        in_worker("quality", _KNOWN.clear)
         for b in parts:
             r = _batch_rows(b.column(1), b.column(2), b.column(3), b.column(4), usual)
             lists = [pa.array(list(a), pa.list_(pa.float32())) for a in (r.content, r.words, r.form)]
@@ -397,7 +419,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_worker("quality", _BUCKETS.clear)
+        in_worker("quality", _KNOWN.clear)
         for b in parts:
             p, q, r = shared.value.views(_batch_rows(*b.columns[1:5], shared.value.usual))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in (p, q, r)), pa.array(r >= threshold)], ["key", "text_score", "meta_score", "quality", "kept"])
@@ -415,7 +437,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], *[c.alias(f"of_{n}") for n, c in _columns().items()])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_worker("quality", _BUCKETS.clear)
+        in_worker("quality", _KNOWN.clear)
         for b in parts:
             _, _, quality = shared.value.views(_batch_rows(*b.columns[width : width + 4], shared.value.usual))
             kept = b.filter(pa.array(quality >= threshold))
